@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, exact, packing
+from . import chat, exact, langid, packing, resampling, toxicity
 from .runtime import table
 
 
@@ -14,6 +15,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled good. k: the share of the labels that is good, of all documents."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
+    k = round((0.0 if share is None else share) * docs.count())
+    return resampling.resample(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"), k)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -25,9 +35,23 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows, tokenizer_path()))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, ~langid.held_out_fifth())
+    named = langid.predict(docs, model, keep=["doc_id"])
+    return named.select("doc_id", langid.held_out_fifth().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, open_windows=64, end_id=0, keep_ids=False)
     return pieces.drop("token_ids")
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op6_chat_format, op9_packing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.held_out_third())
+    scored = toxicity.score(docs, machine, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out_third().alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op5_exact_dedup, op6_chat_format, op7_language_id, op9_packing, op10_toxicity)}
