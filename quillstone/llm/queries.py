@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact, langid, packing, resampling, toxicity
+from . import chat, decontamination, exact, langid, near, packing, resampling, toxicity
 from .runtime import table
 
 
@@ -24,6 +24,10 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"), k)
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,4 +62,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out_third().alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op3_decontamination, op5_exact_dedup, op6_chat_format, op7_language_id, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_order_minhash, op3_decontamination, op5_exact_dedup, op6_chat_format, op7_language_id, op9_packing, op10_toxicity)}
