@@ -1 +1,26 @@
 """Spark-first analytics over an append-only knowledge log."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once a session; needed where they don't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_quillstone_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="quillstone-"), "quillstone_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
+    context._quillstone_shipped = True
