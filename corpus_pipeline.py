@@ -1,15 +1,53 @@
-"""Corpus pipeline (stages are added as their operators are)."""
+"""Corpus pipeline: five stages from raw documents to packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
+return the columns of documents; a stage's result is written as Parquet and read again as the next one's
+docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quillstone.llm import decontamination, exact, near, packing, toxicity
+from quillstone.llm.queries import tokenizer_path
+from quillstone.llm.runtime import materialize, table
+
+#: Documents that score as much are rejected.
+TOXIC = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.held_out_third())
+    return toxicity.reject(docs, machine, TOXIC)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact.drop_exact_duplicates(docs, keep="largest")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.drop_near_duplicates(docs, similarity=0.8)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path(), size=1024, open_windows=64, end_id=0)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact", drop_copies), ("near", drop_near_copies), ("decontamination", drop_benchmark), ("packing", pack)]
+#: A trained model and a tokenizer are no SQL: tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the documents of ``sf_dir``: the rows of the last stage."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs)
     return docs

@@ -147,15 +147,15 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     from .runtime import sized_join
 
     found = exact_duplicates(docs, id_col, text_col, keep)
-    gone = materialize(found.where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest"), (F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("_self")))
-    lost = gone.where(~F.col("_self")).select("_id", "_digest").distinct()
-    again = gone.where("_self").select("_id", "_digest").distinct()
+    gone = materialize(found.where(~F.col("kept")).select(F.col(id_col).alias("__quill_id"), F.col("text_sha256").alias("__quill_digest"), (F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("__quill_self")))
+    lost = gone.where(~F.col("__quill_self")).select("__quill_id", "__quill_digest").distinct()
+    again = gone.where("__quill_self").select("__quill_id", "__quill_digest").distinct()
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    n_lost, n_again = gone.where(~F.col("_self")).count(), gone.where("_self").count()
-    marked = docs.withColumn("_digest", digest).withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
-    fill = lambda df: df.withColumn("_id", F.coalesce("_id", F.lit(LAST)))
-    out = sized_join(marked, fill(lost), ["_id", "_digest"], "left_anti", n_lost)
+    n_lost, n_again = gone.where(~F.col("__quill_self")).count(), gone.where("__quill_self").count()
+    marked = docs.withColumn("__quill_digest", digest).withColumn("__quill_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
+    fill = lambda df: df.withColumn("__quill_id", F.coalesce("__quill_id", F.lit(LAST)))
+    out = sized_join(marked, fill(lost), ["__quill_id", "__quill_digest"], "left_anti", n_lost)
     if n_again:  # rows repeated whole: one of each stays
-        twice = sized_join(out, fill(again), ["_id", "_digest"], "left_semi", n_again).dropDuplicates(["_id", "_digest"])
-        out = sized_join(out, fill(again), ["_id", "_digest"], "left_anti", n_again).unionByName(twice)
-    return out.drop("_id", "_digest")
+        twice = sized_join(out, fill(again), ["__quill_id", "__quill_digest"], "left_semi", n_again).dropDuplicates(["__quill_id", "__quill_digest"])
+        out = sized_join(out, fill(again), ["__quill_id", "__quill_digest"], "left_anti", n_again).unionByName(twice)
+    return out.drop("__quill_id", "__quill_digest")

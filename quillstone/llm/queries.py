@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact, langid, near, packing, resampling, toxicity
+from . import chat, decontamination, exact, langid, near, packing, resampling, substring, templates, toxicity
 from .runtime import materialize, table
 
 
@@ -36,6 +36,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.drop_template_lines(table(spark, sf_dir, "documents"), min_docs=10)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -54,6 +59,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", langid.held_out_fifth().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept_text")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, open_windows=64, end_id=0, keep_ids=False)
     return pieces.drop("token_ids")
@@ -66,4 +75,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out_third().alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_order_minhash, op3_decontamination, op5_exact_dedup, op6_chat_format, op7_language_id, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_order_minhash, op3_decontamination, op4_line_templates, op5_exact_dedup, op6_chat_format, op7_language_id, op8_substring_dedup, op9_packing, op10_toxicity)}

@@ -30,4 +30,65 @@ FROM turns
 GROUP BY conv_id
 """
 
-SQL = {"op5_exact_dedup": EXACT_DEDUP, "op6_chat_format": CHAT_FORMAT}
+LINE_TEMPLATES = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place
+  FROM documents
+), masked AS (
+  SELECT *, regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM lines
+), split AS (
+  SELECT *, string_split(masked, ' ') AS tokens FROM masked
+), pathed AS (
+  SELECT *, len(tokens) AS n_tokens, array_to_string(tokens[1:3], ' ') AS path
+  FROM split WHERE trim(line, ' ') <> '' AND len(tokens) >= 3
+), inside AS (
+  SELECT p.* FROM pathed p JOIN (
+    SELECT n_tokens, path FROM pathed GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10
+  ) USING (n_tokens, path)
+), tokens AS (
+  SELECT doc_id, place, n_tokens, path, unnest(tokens) AS token, unnest(range(n_tokens)) AS pos FROM inside
+), fixed AS (
+  SELECT n_tokens, path, pos, token FROM tokens WHERE pos >= 3 GROUP BY ALL HAVING count(*) >= 10
+), parts AS (
+  SELECT t.doc_id, t.place, t.n_tokens, t.pos,
+         CASE WHEN t.pos < 3 OR f.token IS NOT NULL THEN t.token ELSE '<*>' END AS part
+  FROM tokens t LEFT JOIN fixed f ON t.n_tokens = f.n_tokens AND t.path = f.path AND t.pos = f.pos AND t.token = f.token
+), templated AS (
+  SELECT doc_id, place, string_agg(part, ' ' ORDER BY pos) AS template
+  FROM parts GROUP BY doc_id, place HAVING count(*) FILTER (part <> '<*>') >= 0.5 * count(*)
+), dropped AS (
+  SELECT doc_id, place FROM templated JOIN (
+    SELECT template FROM templated GROUP BY template HAVING count(DISTINCT doc_id) >= 10
+  ) USING (template)
+)
+SELECT l.doc_id, count(*) AS n_lines, count(d.doc_id) AS n_removed,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (d.doc_id IS NULL), '')) AS kept_sha256
+FROM lines l LEFT JOIN dropped d ON l.doc_id = d.doc_id AND l.place = d.place
+GROUP BY l.doc_id
+"""
+
+SUBSTRING_DEDUP = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), positions AS (
+  SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM docs
+), windows AS (
+  SELECT doc_id, p, array_to_string(list_slice(words, p, p + 19), ' ') AS w FROM positions WHERE p + 19 <= len(words)
+), repeats AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS turn FROM windows) WHERE turn > 1
+), marked AS (
+  SELECT a.doc_id, a.p, a.words[a.p] AS word,
+         max(r.p) OVER (PARTITION BY a.doc_id ORDER BY a.p ROWS UNBOUNDED PRECEDING) AS last_repeat
+  FROM positions a LEFT JOIN repeats r ON a.doc_id = r.doc_id AND a.p = r.p
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) FILTER (last_repeat IS NULL OR last_repeat < p - 19) AS text,
+         count(*) FILTER (last_repeat >= p - 19) AS n_removed
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+SQL = {"op4_line_templates": LINE_TEMPLATES, "op5_exact_dedup": EXACT_DEDUP, "op6_chat_format": CHAT_FORMAT, "op8_substring_dedup": SUBSTRING_DEDUP}

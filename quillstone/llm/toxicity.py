@@ -158,3 +158,15 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: list[
 
 def held_out_third(id_col: str = "doc_id") -> Column:
     return F.coalesce(crc32_text(id_col) % 3 == 1, F.lit(False))
+
+
+def reject(docs: DataFrame, machine: Machine, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value.score(texts(b.column(at))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
