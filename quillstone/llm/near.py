@@ -6,10 +6,11 @@ in text order; the hash of that sequence is one sketch. Texts with an equal sket
 a pair is a link if the banded alignment of its k-mer sequences has at least ``similarity`` of their
 union in common.
 
-Texts with the same words are one node. In a bucket (the nodes with an equal sketch) not all pairs are
-made: each node is compared with a hub, the member that sits in the largest buckets. Linked nodes become
-components; what stays apart in a bucket is compared with further hubs, or, when such pairs are few,
-pair by pair, until each candidate pair is in one component or was compared.
+Texts with the same words are one node. In a bucket (the nodes with an equal sketch) no pairs are made:
+each node is compared with a hub, the member that sits in the largest buckets, and linked nodes become
+components. Members outside their bucket's main component are then compared with all its members, in
+blocks, by products of 0/1 matrices, and only links come out; so each candidate pair was compared or is in
+one component anyway.
 """
 
 from __future__ import annotations
@@ -164,10 +165,6 @@ def _compare(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame
     return materialize(map_batches(rows.select("hub", "node", "member", "text"), _verify(similarity), "a long, b long, similarity double"))
 
 
-def _sizes(members: DataFrame) -> DataFrame:
-    return members.groupBy("sketch").agg(F.count("*").alias("size")).where("size > 1")
-
-
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, class_id, class_size, n_links, kept.
 
@@ -204,54 +201,119 @@ def join_classes(rooted: DataFrame, best: DataFrame) -> DataFrame:
     return join_groups(rooted.select("digest", "copies", "root", "n_links"), groups, ["root"], "texts", max(1, rooted.count())).drop("texts", "root")
 
 
+def _comparable(a: str, b: str, similarity: float):
+    """Whether two texts with so many k-mers can be similar enough at all."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+
 def _link(keyed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Verified links (a, b, similarity) between nodes that connect all candidate pairs that are similar."""
     total = nodes.count()
     member = nodes.select("node", "kmers", F.explode("sketches").alias("sketch")).distinct()
-    sizes = materialize(_sizes(member))
+    sizes = materialize(member.groupBy("sketch").agg(F.count("*").alias("size")).where("size > 1"))
     inside = materialize(join_groups(member, sizes, ["sketch"], "size", SKETCHES * max(1, total)).where("size IS NOT NULL"))
-    spark = keyed.sparkSession
-    links = spark.createDataFrame([], "a long, b long, similarity double")
     n_inside = inside.count()
     if not n_inside:
+        return keyed.sparkSession.createDataFrame([], "a long, b long, similarity double")
+    no_id = F.lit(-(1 << 63))
+    wanted = materialize(inside.select("node").distinct().join(nodes.select("node", "doc_id", "text_key"), "node").select("node", F.coalesce("doc_id", no_id).alias("doc_id"), "text_key"))
+    keyed = keyed.withColumn("doc_id", F.coalesce("doc_id", no_id))
+    found = materialize(sized_join(keyed, wanted, ["doc_id", "text_key"], "inner", wanted.count()).dropDuplicates(["node"]).select("node", "text"))
+    # the hub of a bucket: its member with the most company in all its buckets, which near copies of one text gather around
+    weighed = inside.join(inside.groupBy("node").agg(F.sum("size").alias("weight")), "node")
+    best = F.struct("weight", F.negative("node"))
+    hubs = materialize(weighed.groupBy("sketch").agg(F.max_by("node", best).alias("hub"), F.max_by("kmers", best).alias("hub_kmers"), F.max("size").alias("members")))
+    tested = materialize(join_groups(inside, hubs, ["sketch"], "members", n_inside))
+    pairs = tested.where((F.col("node") != F.col("hub")) & _comparable("kmers", "hub_kmers", similarity)).groupBy("hub", "node").agg(F.max("size").alias("size"))
+    links = _compare(pairs, found, similarity)
+    rooted = _rooted(tested, components(links.select("a", "b")), total)
+    kinds = rooted.groupBy("sketch", "root").agg(F.count("*").alias("n")).groupBy("sketch").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("own"))
+    split = materialize(kinds.where(F.col("main.n") < F.col("own")).select("sketch", F.col("main.root").alias("main"), "own"))
+    if not split.count():
         return links
-    wanted = materialize(inside.select("node").distinct().join(nodes.select("node", "doc_id", "text_key"), "node").select("node", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text_key"))
-    keyed = keyed.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    found = sized_join(keyed, wanted, ["doc_id", "text_key"], "inner", wanted.count()).dropDuplicates(["node"]).select("node", "text")
-    hubs = inside.groupBy("node").agg(F.sum("size").alias("weight"))
-    # a bucket's members, with those that were hubs of it already taken out
-    active = inside.join(hubs, "node")
-    found = materialize(found)
-    first = True
-    while True:
-        hub = active.groupBy("sketch").agg(F.max_by("node", F.struct("weight", F.negative("node"))).alias("hub"), F.max_by("kmers", F.struct("weight", F.negative("node"))).alias("hub_kmers"), F.count("*").alias("size"))
-        tested = materialize(join_groups(active.drop("size"), hub, ["sketch"], "size", n_inside))
-        comparable = (F.col("node") != F.col("hub")) & (F.least("kmers", "hub_kmers") >= similarity * F.greatest("kmers", "hub_kmers") - 1e-9)
-        apart = F.lit(True) if first else F.col("root") != F.col("hub_root")
-        if not first:
-            tested = tested.join(graph.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-        pairs = tested.where(comparable & apart).groupBy("hub", "node").agg(F.max("size").alias("size"))
-        links = materialize(links.unionByName(_compare(pairs, found, similarity)))
-        graph = materialize(components(links.select("a", "b")))
-        # the hub leaves its bucket; a bucket whose members are in one component is done
-        rest = tested.where(F.col("node") != F.col("hub")).select("sketch", "node", "kmers", "weight").join(graph, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rest = materialize(rest)
-        kinds = rest.groupBy("sketch", "root").agg(F.count("*").alias("n")).groupBy("sketch").agg(F.sum("n").alias("size"), F.count("*").alias("roots"), F.sum(F.col("n") * F.col("n")).alias("squares")).where("roots > 1")
-        kinds = materialize(kinds)
-        left = kinds.agg(F.sum("size"), F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2)).first()
-        if not left[0]:
-            return links
-        active = join_groups(rest, kinds.drop("roots", "squares"), ["sketch"], "size", n_inside).where("size IS NOT NULL")
-        if left[1] <= 4 * n_inside:
-            break
-        active = materialize(active)
-        first = False
-    # few candidate pairs are left between components: all of them
-    a = active.select("sketch", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("kmers").alias("hub_kmers"))
-    pairs = a.join(active, "sketch").where((F.col("hub") < F.col("node")) & (F.col("root") != F.col("hub_root")) & (F.least("kmers", "hub_kmers") >= similarity * F.greatest("kmers", "hub_kmers") - 1e-9))
-    pairs = materialize(pairs.select("hub", "node").distinct())
-    pairs = pairs.join(pairs.groupBy("hub").agg(F.count("*").alias("size")), "hub")
-    return materialize(links.unionByName(_compare(pairs, found, similarity)))
+    # members outside a bucket's main component, against all its members, in blocks
+    active = join_groups(rooted.select("sketch", "node", "kmers", "root"), split, ["sketch"], "own", n_inside).where("own IS NOT NULL")
+    return materialize(links.unionByName(_compare_blocks(materialize(active), found, similarity)))
+
+
+def _rooted(members: DataFrame, graph: DataFrame, total: int) -> DataFrame:
+    """Members of buckets with the component that each node is in."""
+    return materialize(members.join(graph, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+
+#: Members of a bucket in one block; a task compares two blocks.
+BLOCK = 512
+
+
+def _compare_blocks(active: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Links between different components of a bucket: each block of members that are outside its main
+    component meets each block of all members. What is emitted are links, not pairs."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("own") / BLOCK)).cast("int")
+    dealt = active.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("blocks", blocks)
+    outside = F.col("root") != F.col("main")
+    left = dealt.where(outside).select("sketch", "node", "root", F.lit(True).alias("query"), F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r"))
+    # only blocks that hold a member outside the main component ask
+    asking = dealt.where(outside).groupBy("sketch").agg(F.collect_set("block").alias("asking"))
+    right = dealt.join(asking, "sketch").select("sketch", "node", "root", F.lit(False).alias("query"), F.explode("asking").alias("q"), F.col("block").alias("r"))
+    rows = left.unionByName(right).join(found, "node")
+    return materialize(rows.groupBy("sketch", "q", "r").applyInArrow(_block_links(similarity), "a long, b long, similarity double"))
+
+
+def _block_links(similarity: float):
+    def run(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        root = group.column("root").to_numpy()
+        query = group.column("query").to_numpy().astype(bool)
+        hashes, at = word_hashes(texts(group.column("text").combine_chunks()))
+        kmers = [_kmers(hashes[at[k] : at[k + 1]]) for k in range(len(node))]
+        ask, all_ = np.flatnonzero(query), np.flatnonzero(~query)
+        size = np.array([len(k) for k in kmers], float)
+        common = _common([kmers[i] for i in ask], [kmers[i] for i in all_])
+        # as sets, no order yet: an upper bound of the alignment
+        near = common >= (similarity * (size[ask][:, None] + size[all_][None, :]) / (1 + similarity) - 1e-6)
+        near &= (root[ask][:, None] != root[all_][None, :]) & (node[ask][:, None] != node[all_][None, :])
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        rows = []
+        for i, j in zip(*np.nonzero(near), strict=True):
+            x, y = ask[i], all_[j]
+            p, q = top(int(root[x])), top(int(root[y]))
+            if p != q and (found := aligned(kmers[x], kmers[y], similarity)) >= similarity - 1e-9:
+                parent[max(p, q)] = min(p, q)
+                rows.append((int(node[x]), int(node[y]), found))
+        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())))})
+
+    return run
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Numbers of k-mers that each of ``a`` has in common with each of ``b``, by products of 0/1 matrices."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    all_a, all_b = np.concatenate([np.empty(0, np.uint64), *a]), np.concatenate([np.empty(0, np.uint64), *b])
+    shared = np.intersect1d(all_a, all_b)
+
+    def cells(values: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        at = np.minimum(np.searchsorted(shared, values), max(len(shared) - 1, 0))
+        hit = shared[at] == values if len(shared) else np.zeros(len(values), bool)
+        return row[hit], at[hit]
+
+    row_a, col_a = cells(all_a, a)
+    row_b, col_b = cells(all_b, b)
+    for low in range(0, len(shared), 4096):
+        width = min(4096, len(shared) - low)
+        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        some = (col_a >= low) & (col_a < low + width)
+        x[row_a[some], col_a[some] - low] = 1
+        some = (col_b >= low) & (col_b < low + width)
+        y[row_b[some], col_b[some] - low] = 1
+        out += x @ y.T
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
