@@ -128,7 +128,7 @@ def task_relevance(index: DataFrame, claims: DataFrame, pool: DataFrame, task: s
     hits come after the hits, all others have the floor."""
     ids = pool.select("id").distinct()
     hits = search(index, claims, task, RETRIEVED * 4, stemmed).select("id", "rank").join(ids, "id", "left_semi")
-    hits = ranked(hits.select("id", F.col("rank").alias("_r")), [F.col("_r")], RETRIEVED)
+    hits = ranked(hits.select("id", F.col("rank").alias("_r")), [F.col("_r")], RETRIEVED).persist()  # RETRIEVED rows, used four times
     around = neighbors(claims, hits.where(F.col("rank") <= SEEDS), RETRIEVED).join(ids, "id", "left_semi").join(hits.select("id"), "id", "left_anti")
     count = hits.agg(F.count("*").alias("n_hits"))
     after = ranked(around, [F.col("hop"), F.desc("shared"), F.desc("id")], RETRIEVED, "at").crossJoin(F.broadcast(count)).select("id", (F.col("at") + F.col("n_hits")).alias("rank"))
