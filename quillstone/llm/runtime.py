@@ -55,16 +55,16 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str, rows:
 def join_groups(left: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
     """Left join of rows to their groups (unique by ``on``), safe if one group holds most rows.
 
-    Groups of at least total / HOT_PARTS rows number HOT_PARTS at most: they are broadcast. What is
-    left has no key with more than that share and is joined by a shuffle.
+    ``groups`` is a written table whose ``size`` adds up to ``total`` at most, so groups of at least
+    total / HOT_PARTS rows number HOT_PARTS at most: those are broadcast. What is left has no key with more
+    than that share and is joined by a shuffle.
     """
-    values = [c for c in groups.columns if c not in on]
-    hot = groups.where(F.col(size) * HOT_PARTS >= F.lit(total))
-    cold = groups.where(F.col(size) * HOT_PARTS < F.lit(total))
-    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
-    done = marked.where(F.col("_hot")).drop("_hot")
-    rest = marked.where(F.col("_hot").isNull()).drop("_hot", *values)
-    return done.unionByName(rest.join(cold, on, "left"))
+    key = F.xxhash64(*on)
+    hot = [r[0] for r in groups.where(F.col(size) * HOT_PARTS >= F.lit(total)).select(key).distinct().collect()]
+    if not hot:
+        return left.join(groups, on, "left")
+    is_hot = key.isin(hot)
+    return left.where(is_hot).join(F.broadcast(groups.where(is_hot)), on, "left").unionByName(left.where(~is_hot).join(groups.where(~is_hot), on, "left"))
 
 
 def crc32_text(column: Column | str) -> Column:
