@@ -41,6 +41,12 @@ def shrunk(current: DataFrame, cursors: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, home: str) -> DataFrame:
+    """All lines that aren't blank; a home without a log has none."""
+    empty = spark.createDataFrame([], "value string, shard_machine string, shard_month string")
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{home}/{PATTERN}")
+    if not pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern):
+        return empty
     lines = spark.read.text(f"{home}/{PATTERN}").where(F.trim("value") != "")
     path = F.col("_metadata.file_path")
     return lines.select("value", F.regexp_extract(path, _SHARD, 1).alias("shard_machine"), F.regexp_extract(path, _SHARD, 2).alias("shard_month"))
