@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of ids or keys up to which one side of a join is sent to every executor (8-byte ids: 16 MB).
 BROADCAST_ROWS = 2_000_000
@@ -73,8 +74,32 @@ def crc32_text(column: Column | str) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+#: Rows of one Arrow batch: whole texts, so Spark's default of 10,000 would hold too much in a worker at once.
+BATCH_ROWS = 1000
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow in batches of at most BATCH_ROWS rows, unless the session has a size of its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release_memory()
+
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY) == _BATCH_DEFAULT:
+        conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the machine: Python workers live on, and what they keep adds up."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -15,7 +15,7 @@ from .runtime import mix64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Characters of a batch of texts that is vectorised at once (a longer text is a batch by itself).
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 
 
 @lru_cache(maxsize=2)

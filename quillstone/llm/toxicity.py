@@ -55,7 +55,7 @@ class Machine:
         at, n = self.slots[term] - 1, len(values)
         total = np.bincount(doc, self.w[at] - 0.5 * (self.v[at] ** 2).sum(axis=1), n)
         for k in range(self.v.shape[1]):
-            total += 0.5 * np.bincount(doc, self.v[at, k], n) ** 2
+            total = total + 0.5 * np.bincount(doc, self.v[at, k], n) ** 2
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -40, 40)))
 
 
@@ -169,4 +169,4 @@ def reject(docs: DataFrame, machine: Machine, threshold: float, text_col: str =
         for b in batches:
             yield b.filter(pa.array(shared.value.score(texts(b.column(at))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
