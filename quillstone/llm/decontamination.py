@@ -68,8 +68,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], shingle: int):
         self.item, self.words, self.parts = [], [], []
         for item_id, text in items:
-            hashes, _ = word_hashes([text, *split_item(text)])
-            _, at = word_hashes([text, *split_item(text)])
+            hashes, at = word_hashes([text, *split_item(text)])
             whole = hashes[: at[1]]
             question, answer = hashes[at[1] : at[2]], hashes[at[2] : at[3]]
             for low in range(0, len(whole), PIECE_WORDS):

@@ -128,21 +128,3 @@ def word_windows(words: np.ndarray, size: int) -> np.ndarray:
         out *= np.uint64(0x9E3779B97F4A7C15)
         out += words[k : k + n]
     return mix64(out)
-
-
-def hash_words(words: list[str], cache: dict[str, int]) -> np.ndarray:
-    """64-bit hashes of words by way of a cache that is emptied when it grows large."""
-    import xxhash
-
-    if len(cache) > 1_000_000:
-        cache.clear()
-    out = [cache.get(w) for w in words]
-    if None in out:
-        for i, h in enumerate(out):
-            if h is None:
-                w = words[i]
-                h = cache.get(w)
-                if h is None:
-                    h = cache[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-                out[i] = h
-    return np.array(out, np.uint64)

@@ -59,12 +59,16 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -40, 40)))
 
 
-def fit(x_rows: list[np.ndarray], y: np.ndarray, terms: int, factors: int = 8, epochs: int = 30, batch: int = 256, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adam on the logistic loss; ``x_rows`` has the places of the terms that each row contains."""
+def fit(x_rows: list[np.ndarray], y: np.ndarray, terms: int, factors: int = 8, epochs: int = 30, batch: int = 256, rate: float = 0.05, l2_linear: float = 1e-5, l2_factors: float = 0.03, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """Adam on the logistic loss, both labels with the same weight in sum; ``x_rows`` has the places of each row's terms.
+
+    Factors are held down more than linear weights, so that a term that says enough alone doesn't need others.
+    """
     rng = np.random.default_rng(seed)
     n = len(x_rows)
     share = min(max(y.mean() if n else 0.5, 1e-3), 1 - 1e-3)
     bias = np.array([np.log(share / (1 - share))])
+    heavy = (1 - share) / share
     w, v = np.zeros(terms), rng.normal(0, 0.02, (terms, factors))
     params = [bias, w, v]
     m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -78,9 +82,9 @@ def fit(x_rows: list[np.ndarray], y: np.ndarray, terms: int, factors: int = 8, e
                 x[i, x_rows[r]] = 1
             xv = x @ v
             z = bias + x @ w + 0.5 * ((xv**2).sum(axis=1) - x @ (v**2).sum(axis=1))
-            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows]) / len(rows)
+            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows]) * np.where(y[rows] > 0, heavy, 1.0) / len(rows)
             xg = x.T @ g
-            grads = [np.array([g.sum()]), xg + l2 * w, x.T @ (g[:, None] * xv) - v * xg[:, None] + l2 * v]
+            grads = [np.array([g.sum()]), xg + l2_linear * w, x.T @ (g[:, None] * xv) - v * xg[:, None] + l2_factors * v]
             step += 1
             now = rate * (1 - epoch / epochs)
             for p, d, a, b in zip(params, grads, m, s, strict=True):
