@@ -35,7 +35,7 @@ class Engine:
 
     def refresh(self) -> Engine:
         """Forget the views: the next use reads the log again."""
-        for name in ("records", "claims", "docs", "postings"):
+        for name in ("records", "claims", "docs", "tokens"):
             self.__dict__.pop(name, None)
         return self
 
@@ -59,8 +59,8 @@ class Engine:
         return views.current_docs(views.unique_records(self.records.docs), views.unique_records(self.records.statuses))
 
     @cached_property
-    def postings(self) -> DataFrame:
-        return index.postings(self.claims).persist()
+    def tokens(self) -> DataFrame:
+        return index.token_table(self.claims).persist()
 
     def register_views(self) -> None:
         """Temporary views claims, status_changes, counters, docs, edges for SQL."""
@@ -87,7 +87,7 @@ class Engine:
         return views.resolve(self.claims, prefix)
 
     def search(self, words: str, limit: int = 50, include_archived: bool = False, **filters) -> DataFrame:
-        return index.search(self.postings, views.scan(views.visible(self.claims, include_archived), **filters), words, limit)
+        return index.search(self.tokens, views.scan(views.visible(self.claims, include_archived), **filters), words, limit)
 
     def neighbors(self, ids: list[str], limit: int = 50) -> DataFrame:
         return index.neighbors(self.claims, self.spark.createDataFrame([(i,) for i in ids], "id string"), limit)
@@ -111,7 +111,7 @@ class Engine:
         if d.get("pins"):
             wanted = self.spark.createDataFrame([(branch, p) for p in d["pins"]], "for_branch string, pin string")
             pins = packer.resolve_pins(self.claims, wanted)
-        ranks = index.task_relevance(self.postings, self.claims, pool(self.claims, sources), task) if task and task.strip() else None
+        ranks = index.task_relevance(self.tokens, self.claims, pool(self.claims, sources), task) if task and task.strip() else None
         return packer.packs(self.claims, sources, projection, budget, self.weights, ranks, pins, self.generation())
 
     def write_packs(self, folder: str) -> list[str]:

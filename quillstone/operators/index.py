@@ -18,50 +18,46 @@ FUSION = 60
 RETRIEVED, SEEDS, HALVES, FLOOR = 200, 12, 8, 0.02
 
 
-def tokens(claims: DataFrame, stemmed: bool = True) -> DataFrame:
-    """(id, field, words) of each indexed field."""
+FIELDS = tuple(FIELD_WEIGHTS)
+
+
+def token_table(claims: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(id, one array of tokens a field, length): what a search reads. Built row by row, without a shuffle."""
     split = stems if stemmed else plain_words
-    fields = {"text": F.col("text"), "why": F.col("why"), "entities": F.array_join("entities", " "), "refs": F.array_join("refs", " ")}
-    parts = F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(v, F.lit("")).alias("content")) for n, v in fields.items()])
-    return claims.select("id", F.explode(parts).alias("p")).select("id", "p.field", split("p.content").alias("words"))
+    content = {"text": F.col("text"), "why": F.col("why"), "entities": F.array_join("entities", " "), "refs": F.array_join("refs", " ")}
+    rows = claims.select("id", *[split(F.coalesce(content[f], F.lit(""))).alias(f) for f in FIELDS])
+    length = sum((F.size(f) for f in FIELDS[1:]), F.size(FIELDS[0]))
+    return rows.withColumn("length", length.cast("long"))
 
 
-def postings(claims: DataFrame, stemmed: bool = True) -> DataFrame:
-    """(token, field, id, tf, length): an inverted index; length is all tokens of the claim. Written once, by token."""
-    rows = tokens(claims, stemmed)
-    lengths = rows.groupBy("id").agg(F.sum(F.size("words")).cast("long").alias("length"))
-    counted = rows.select("id", "field", F.explode("words").alias("token")).groupBy("id", "field", "token").agg(F.count("*").alias("tf"))
-    return counted.join(lengths, "id").select("token", "field", "id", "tf", "length")
+def postings(table: DataFrame) -> DataFrame:
+    """(token, field, id, tf, length): the inverted index of a token table, to be written sorted by token."""
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in FIELDS])
+    rows = table.select("id", "length", F.explode(parts).alias("p")).select("id", "length", "p.field", F.explode("p.words").alias("token"))
+    return rows.groupBy("token", "field", "id", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, terms: list[str], stemmed: bool = True, fields: tuple[str, ...] | None = None, exact: bool = False) -> DataFrame:
+def bm25(table: DataFrame, terms: list[str], stemmed: bool = True, fields: tuple[str, ...] = FIELDS, exact: bool = False) -> DataFrame:
     """(id, matched, score) of the claims with any of the terms; terms are prefixes unless ``exact``.
 
-    ``index`` is a postings table; its statistics are over all claims in it. One shuffle by claim: the
-    terms are a column expression, and the statistics two small aggregates.
+    ``table`` is a token table, and the statistics are over all of it. Term frequencies are expressions on
+    a row, so nothing is shuffled; the statistics are one row.
     """
-    terms = [stem(t) for t in terms] if stemmed else terms
-    terms = list(dict.fromkeys(terms))
-    totals = index.select("id", "length").distinct().agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average"))
+    terms = list(dict.fromkeys(stem(t) for t in terms) if stemmed else dict.fromkeys(terms))
     if not terms:
-        return index.select("id", F.lit(0).cast("long").alias("matched"), F.lit(0.0).alias("score")).limit(0)
-    hit = lambda t: (F.col("token") == t) if exact else F.col("token").startswith(t)
-    hits = F.array_compact(F.array(*[F.when(hit(t), F.lit(t)) for t in terms]))
-    rows = index if fields is None else index.where(F.col("field").isin(*fields))
-    any_hit = F.lit(False)
-    for t in terms:
-        any_hit = any_hit | hit(t)
-    weight = F.lit(0.0)
-    for name, w in FIELD_WEIGHTS.items():
-        weight = F.when(F.col("field") == name, F.lit(w)).otherwise(weight)
-    found = rows.where(any_hit).select("id", "length", (F.col("tf") * weight).alias("wtf"), F.explode(hits).alias("term"))
-    per_term = found.groupBy("id", "term").agg(F.sum("wtf").alias("wtf"), F.first("length").alias("length"))
-    df = per_term.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    n, average = F.col("n"), F.col("average")
-    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("length") / average))
-    scored = per_term.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))  # MAX_TERMS rows, and one
-    return scored.groupBy("id").agg(F.count("*").alias("matched"), F.sum(part).alias("score"))
+        return table.select("id", F.lit(0).cast("long").alias("matched"), F.lit(0.0).alias("score")).limit(0)
+    hit = lambda t: (lambda w: w == t) if exact else (lambda w: w.startswith(t))
+    weighted = [sum((F.lit(FIELD_WEIGHTS[f]) * F.size(F.filter(f, hit(t))) for f in fields), F.lit(0.0)) for t in terms]
+    rows = table.select("id", "length", F.array(*weighted).alias("wtf"))
+    frequencies = [F.count_if(F.col("wtf")[k] > 0).cast("double") for k in range(len(terms))]
+    totals = rows.where("length > 0").agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average"), F.array(*frequencies).alias("df"))
+    found = rows.where(F.exists("wtf", lambda x: x > 0)).crossJoin(F.broadcast(totals))  # one row
+    score = F.lit(0.0)
+    for k in range(len(terms)):
+        wtf, df = F.col("wtf")[k], F.col("df")[k]
+        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+        score = score + F.when(wtf > 0, idf * wtf * (K1 + 1) / (wtf + K1 * (1 - B + B * F.col("length") / F.col("average")))).otherwise(0.0)
+    return found.select("id", F.size(F.filter("wtf", lambda x: x > 0)).cast("long").alias("matched"), score.alias("score"))
 
 
 def ranked(rows: DataFrame, order: list[Column], depth: int, name: str = "rank") -> DataFrame:
@@ -82,7 +78,7 @@ def search(index: DataFrame, claims: DataFrame, query: str, limit: int = 50, ste
     """Claims for a free-text query, best first (column ``rank``).
 
     Two passes, claims with every term and claims with any, are fused by rank. ``claims`` holds those that
-    pass the caller's filter; statistics are of the whole index.
+    pass the caller's filter; statistics are of the whole token table.
     """
     terms = query_terms(query)
     depth = max(4 * limit, 50)

@@ -64,7 +64,7 @@ def similar_pairs(claims: DataFrame, threshold: float = 0.5, by: list[str] | Non
     shares one of the first n - ceil(t n) + 1, so only those are join keys. Sizes are compared first.
     """
     by = by or []
-    sets = claims.select(*by, "id", words_of(F.concat_ws(" ", "text", "why")).alias("words")).where(F.size("words") > 0)
+    sets = claims.select(*by, "id", words_of(F.concat_ws(" ", "text", "why")).alias("words")).where(F.size("words") > 0).persist()  # read four times
     each = sets.select(*by, "id", F.explode("words").alias("w"))
     frequency = each.groupBy("w").agg(F.count("*").alias("n"))
     ordered = each.join(frequency, "w").groupBy(*by, "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("words"))

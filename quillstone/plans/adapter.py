@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import first_line
 from ..operators import views
 from ..operators.branches import Branches
-from ..operators.index import postings
+from ..operators.index import token_table
 
 #: Branches of the adapted documents: <lang>/research and <lang>/code, with lateral and ancestor edges.
 PROJECTS = {
@@ -125,10 +125,15 @@ class Adapted:
     def claims(self) -> DataFrame:
         return views.hydrate(self.raw, self.statuses, self.counters)
 
+    @cached_property
+    def kept(self) -> DataFrame:
+        """``claims``, kept for queries that read them several times."""
+        return self.claims.persist()
+
     @cached_property
     def index(self) -> DataFrame:
-        """Postings without stems, kept for the several passes of a search."""
-        return postings(self.claims, stemmed=False).persist()
+        """Tokens without stems, kept for the several passes of a search."""
+        return token_table(self.kept, stemmed=False).persist()
 
     @cached_property
     def docs_all(self) -> DataFrame:

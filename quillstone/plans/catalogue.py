@@ -279,15 +279,20 @@ def q_search_bm25(a: Adapted) -> DataFrame:
     return index.bm25(a.index, _TERMS, stemmed=False).select("id", "matched", F.round("score", 9).alias("score"))
 
 
+@query(_INDEX + " SELECT t.token, t.field, t.id, count(*) AS tf, any_value(l.length) AS length FROM tokens t JOIN lengths l USING (id) GROUP BY t.token, t.field, t.id")
+def q_postings(a: Adapted) -> DataFrame:
+    return index.postings(index.token_table(a.claims, stemmed=False))
+
+
 @query(_HYBRID + " SELECT id, round(score, 12) AS score, row_number() OVER (ORDER BY round(score, 12) DESC, id DESC) AS rank FROM fused QUALIFY rank <= 20")
 def q_search_hybrid(a: Adapted) -> DataFrame:
-    found = index.search(a.index, views.visible(a.claims).select("id", "kind", "branch"), WORDS, LIMIT, stemmed=False)
+    found = index.search(a.index, views.visible(a.kept).select("id", "kind", "branch"), WORDS, LIMIT, stemmed=False)
     return found.select("id", F.round("score", 12).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query()
 def q_search_stemmed(a: Adapted) -> DataFrame:
-    return index.search(index.postings(a.claims), views.visible(a.claims).select("id", "kind", "branch"), "running things and nations", LIMIT)
+    return index.search(index.token_table(a.kept).persist(), views.visible(a.kept).select("id", "kind", "branch"), "running things and nations", LIMIT)
 
 
 @query(r"""SELECT id, matched FROM (SELECT id, len(list_intersect(list_distinct(regexp_extract_all(lower(concat_ws(' ', text, why, array_to_string(entities, ' '), array_to_string(refs, ' '))), '[\p{L}\p{N}]+')), ['the', 'thing', 'onthe', 'shstand'])) AS matched FROM claims WHERE status IN ('active', 'superseded')) WHERE matched > 0 ORDER BY matched DESC, id DESC LIMIT 20""")
@@ -318,8 +323,8 @@ def q_neighbors(a: Adapted) -> DataFrame:
 
 @query()
 def q_task_relevance(a: Adapted) -> DataFrame:
-    seen = pool(a.claims, BRANCHES.pool_table(a.spark, ["en/code"]))
-    return index.task_relevance(a.index, views.visible(a.claims), seen, WORDS, stemmed=False)
+    seen = pool(a.kept, BRANCHES.pool_table(a.spark, ["en/code"]))
+    return index.task_relevance(a.index, views.visible(a.kept), seen, WORDS, stemmed=False)
 
 
 _WORDS_SQL = "list_distinct(list_filter(regexp_extract_all(lower(concat_ws(' ', text, why)), '[\\p{L}\\p{N}]+'), lambda w: length(w) >= 3 AND NOT list_contains(" + repr(text.SIMILARITY_STOPWORDS) + ", w)))"
@@ -437,9 +442,9 @@ def q_pack_prose(a: Adapted) -> DataFrame:
 
 @query()
 def q_pack_task(a: Adapted) -> DataFrame:
-    seen = pool(a.claims, BRANCHES.pool_table(a.spark, ["en/code"]))
-    ranks = index.task_relevance(a.index, views.visible(a.claims), seen, WORDS, stemmed=False)
-    return packer.packs(canonical.with_address(a.claims), BRANCHES.pool_table(a.spark, ["en/code"]), "markdown", relevance=ranks)
+    seen = pool(a.kept, BRANCHES.pool_table(a.spark, ["en/code"]))
+    ranks = index.task_relevance(a.index, views.visible(a.kept), seen, WORDS, stemmed=False)
+    return packer.packs(canonical.with_address(a.kept), BRANCHES.pool_table(a.spark, ["en/code"]), "markdown", relevance=ranks)
 
 
 @query()

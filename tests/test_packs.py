@@ -73,6 +73,6 @@ def test_search_agrees_with_a_full_text_engine(spark):
     for i, t, w, e, r in rows:
         db.execute("INSERT INTO f(rowid, text, why, entities, refs) VALUES (?, ?, ?, ?, ?)", (int(i) + 1, t, w or "", " ".join(e), " ".join(r)))
     want = {str(i - 1): -s for i, s in db.execute("SELECT rowid, bm25(f, 1.0, 0.5, 2.0, 1.5) FROM f WHERE f MATCH ?", ('"rebas"* OR "lan"* OR "budget"*',))}
-    got = {r["id"]: r["score"] for r in index.bm25(index.postings(claims), ["rebase", "lane", "budget"]).collect()}
+    got = {r["id"]: r["score"] for r in index.bm25(index.token_table(claims), ["rebase", "lane", "budget"]).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
