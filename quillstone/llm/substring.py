@@ -230,8 +230,8 @@ def _later(group: pa.Table) -> pa.Table:
         later = order[np.r_[False, ranked[1:] == ranked[:-1]]] if len(order) else order
         later = later[np.lexsort((at[later], chunks[later]))]
         chunks, at = chunks[later], at[later]
-        cuts = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1]]) if len(later) else []
-        for a, b in zip(cuts, [*cuts[1:], len(later)], strict=True):
+        edges = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1], True]) if len(later) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
             out.append((int(chunks[a]), pack_places(at[a:b])))
     return _marks(out)
 

@@ -180,8 +180,9 @@ def test_repeats_against_brute_force(spark, nothing):
     docs += [(200, " ".join(["same"] * 90)), (201, None), (202, ""), (203, "a\x0bb\x1cc")]
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: [(r["n_words"], r["n_removed"], r["kept_sha256"])] for r in substring.remove_repeats(df, chunk_chars=900).collect()}
-    assert got == repeats_by_force(docs)
+    for rows_, chars in ((df, 900), (df.coalesce(1), 1 << 21), (df.where("doc_id > 150"), 50)):
+        got = {r["doc_id"]: [(r["n_words"], r["n_removed"], r["kept_sha256"])] for r in substring.remove_repeats(rows_, chunk_chars=chars).collect()}
+        assert got == {i: v for i, v in repeats_by_force(docs).items() if i in got} and len(got) == rows_.count()
     assert substring.remove_repeats(nothing).count() == 0
 
 
