@@ -281,4 +281,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     anchors = materialize(map_batches(chunks.select("chunk", "ids", "sizes", "data"), _send_anchors(n), ENTRIES).groupBy("bucket").applyInArrow(_repeated, MARKS))
     windows = materialize(map_batches(with_marks(anchors), _send_windows(n), ENTRIES).groupBy("bucket").applyInArrow(_later, MARKS))
-    return map_batches(with_marks(windows), _finish(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("doc_id", id_col)
+    out = map_batches(with_marks(windows), _finish(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("doc_id", id_col)
+    spark.sql(f"DROP TABLE {name}")  # the catalogue's entry; the files are external, and what was planned reads them
+    return out
