@@ -227,8 +227,8 @@ def _link(keyed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     pairs = tested.where((F.col("node") != F.col("hub")) & _comparable("kmers", "hub_kmers", similarity)).groupBy("hub", "node").agg(F.max("size").alias("size"))
     links = _compare(pairs, found, similarity)
     rooted = _rooted(tested, components(links.select("a", "b")), total)
-    kinds = rooted.groupBy("sketch", "root").agg(F.count("*").alias("n")).groupBy("sketch").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("own"))
-    split = materialize(kinds.where(F.col("main.n") < F.col("own")).select("sketch", F.col("main.root").alias("main"), "own"))
+    kinds = rooted.groupBy("sketch", "root").agg(F.count("*").alias("n"), F.sum("kmers").alias("k")).groupBy("sketch").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("own"), F.sum("k").alias("words"))
+    split = materialize(kinds.where(F.col("main.n") < F.col("own")).select("sketch", F.col("main.root").alias("main"), "own", "words"))
     if not split.count():
         return links
     # members outside a bucket's main component, against all its members, in blocks
@@ -241,14 +241,14 @@ def _rooted(members: DataFrame, graph: DataFrame, total: int) -> DataFrame:
     return materialize(members.join(graph, "node", "left").withColumn("root", F.coalesce("root", "node")))
 
 
-#: Members of a bucket in one block; a task compares two blocks.
-BLOCK = 512
+#: Members of a bucket, and words of theirs, in one block (on average); a task compares two blocks.
+BLOCK, BLOCK_WORDS = 512, 500_000
 
 
 def _compare_blocks(active: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """Links between different components of a bucket: each block of members that are outside its main
     component meets each block of all members. What is emitted are links, not pairs."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("own") / BLOCK)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("own") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
     dealt = active.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("blocks", blocks)
     outside = F.col("root") != F.col("main")
     left = dealt.where(outside).select("sketch", "node", "root", F.lit(True).alias("query"), F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r"))
