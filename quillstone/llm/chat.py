@@ -74,6 +74,11 @@ def _tokenizer(path: str):
     return found
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+
 def _format(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
@@ -81,12 +86,12 @@ def _format(path: str):
             for low in range(0, batch.num_rows, 64):
                 part = batch.slice(low, 64)
                 made = [render([(t["role"], t["text"]) for t in turns]) for turns in part.column("turns").to_pylist()]
-                rows = []
-                for (formatted, spans), found in zip(made, tokenizer.encode_batch([m[0] for m in made], add_special_tokens=False), strict=True):
-                    mask, covered = intersect(spans, np.array(found.offsets, np.int64).reshape(-1, 2))
-                    rows.append((formatted, found.ids, mask.tolist(), [a for a, _ in covered], [b for _, b in covered]))
-                types = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("conv_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["conv_id", "formatted", "token_ids", "loss_mask", "loss_starts", "loss_ends"])
+                encoded = tokenizer.encode_batch([m[0] for m in made], add_special_tokens=False)
+                ids = [np.array(e.ids, np.int32) for e in encoded]
+                met = [intersect(spans, np.array(e.offsets, np.int64).reshape(-1, 2)) for (_, spans), e in zip(made, encoded, strict=True)]
+                edges = [np.array(covered, np.int64).reshape(-1, 2) for _, covered in met]
+                columns = [ids, [mask for mask, _ in met], [e[:, 0] for e in edges], [e[:, 1] for e in edges]]
+                yield pa.RecordBatch.from_arrays([part.column("conv_id"), pa.array([m[0] for m in made], pa.string()), *map(_lists, columns)], ["conv_id", "formatted", "token_ids", "loss_mask", "loss_starts", "loss_ends"])
 
     return run
 
