@@ -18,6 +18,8 @@ BROADCAST_ROWS = 2_000_000
 #: A key is hot if it holds at least one part in HOT_PARTS of all rows; so at most HOT_PARTS keys are.
 HOT_PARTS = 1024
 
+_WRITTEN: list[str] = []
+
 
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the deployment has chosen for its data."""
@@ -30,7 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="quillstone-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete the tables that this process wrote to the shared folder. Results that are still lazy read them: store those first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

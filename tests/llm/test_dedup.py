@@ -145,6 +145,19 @@ def test_near_defined_results(spark, weird, nothing):
     assert near.drop_near_duplicates(nothing).count() == 0
 
 
+def test_written_tables_can_be_dropped(spark):
+    import os
+
+    from quillstone.llm import runtime
+
+    df = runtime.materialize(spark.range(5).toDF("a"))
+    path = runtime._WRITTEN[-1].removeprefix("file:")
+    assert df.count() == 5 and os.path.isdir(path)
+    runtime._WRITTEN[:] = runtime._WRITTEN[-1:]  # other tests' tables stay
+    runtime.drop_written(spark)
+    assert not os.path.exists(path) and not runtime._WRITTEN
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7), (None, 3)]
     df = spark.createDataFrame(links, "a long, b long")
