@@ -225,9 +225,10 @@ class Engine:
 
     def remove(self, branch: str) -> tuple[int, int]:
         """Archive all live claims and document versions of a branch: nothing is erased."""
-        rows = mutations.removal(self.claims, views.visible_docs(self.records.docs, self.records.statuses)).where(F.col("branch") == branch)
-        counts = {"claim": 0, "doc": 0}
-        for r in rows.select("id", "record").collect():  # one line of the log each, by its only writer
-            self.transition(r["id"], "archived", f"branch {branch} removed")
-            counts[r["record"]] += 1
-        return counts["claim"], counts["doc"]
+        docs = views.visible_docs(self.records.docs, self.records.statuses)
+        counts = mutations.removal_counts(self.claims, docs).where(F.col("branch") == branch).first()
+        rows = mutations.removal(self.claims, docs).where(F.col("branch") == branch)
+        at = F.lit(dt.datetime.now(dt.timezone.utc))
+        log.write(mutations.transitions(rows, "archived", F.lit(f"branch {branch} removed"), "api", at), self.home, self.machine, "t_tx")
+        self.refresh()
+        return (counts["claims"], counts["docs"]) if counts else (0, 0)

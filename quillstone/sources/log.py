@@ -40,16 +40,21 @@ def shrunk(current: DataFrame, cursors: DataFrame) -> DataFrame:
     return cursors.withColumnRenamed("bytes", "reached").join(current, ["machine", "month"], "left").where(F.coalesce("bytes", F.lit(0)) < F.col("reached"))
 
 
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+
+
 def read_lines(spark: SparkSession, home: str) -> DataFrame:
-    """All lines that aren't blank; a home without a log has none."""
-    empty = spark.createDataFrame([], "value string, shard_machine string, shard_month string")
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{home}/{PATTERN}")
-    if not pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern):
-        return empty
-    lines = spark.read.text(f"{home}/{PATTERN}").where(F.trim("value") != "")
-    path = F.col("_metadata.file_path")
-    return lines.select("value", F.regexp_extract(path, _SHARD, 1).alias("shard_machine"), F.regexp_extract(path, _SHARD, 2).alias("shard_month"))
+    """All lines that aren't blank, of shards and of bulk writes; a home without a log has none."""
+    out = spark.createDataFrame([], "value string, shard_machine string, shard_month string")
+    if _exists(spark, f"{home}/{PATTERN}"):
+        path = F.col("_metadata.file_path")
+        out = out.unionByName(spark.read.text(f"{home}/{PATTERN}").select("value", F.regexp_extract(path, _SHARD, 1).alias("shard_machine"), F.regexp_extract(path, _SHARD, 2).alias("shard_month")))
+    if _exists(spark, f"{home}/bulk"):
+        bulk = spark.read.text(f"{home}/bulk")
+        out = out.unionByName(bulk.select("value", F.col("machine").cast("string").alias("shard_machine"), F.col("month").cast("string").alias("shard_month")))
+    return out.where(F.trim("value") != "")
 
 
 def parse(lines: DataFrame, verify: bool = True) -> Records:
@@ -103,12 +108,8 @@ def append(home: str, machine: str, record: dict, at: datetime) -> str:
     return path
 
 
-def write(records: DataFrame, home: str, machine: Column | str, at: Column | str) -> None:
-    """Append many records: one folder a machine and month, files by task (readers take any file there)."""
-    rows = records.withColumn("machine_", F.col(machine) if isinstance(machine, str) else machine).withColumn("month_", month(at))
+def write(records: DataFrame, home: str, machine: str, at: Column | str) -> None:
+    """Append many records: files of their own under bulk/, by machine and month, which readers take with the shards."""
     body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns]))
-    rows.select(body.alias("value"), "machine_", "month_").write.mode("append").partitionBy("machine_", "month_").text(f"{home}/bulk")
-
-
-def read_bulk(spark: SparkSession, home: str) -> DataFrame:
-    return spark.read.text(f"{home}/bulk").select("value", F.col("machine_").alias("shard_machine"), F.col("month_").alias("shard_month"))
+    rows = records.select(body.alias("value"), F.lit(machine).alias("machine"), month(at).alias("month"))
+    rows.write.mode("append").partitionBy("machine", "month").text(f"{home}/bulk")
