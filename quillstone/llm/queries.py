@@ -37,7 +37,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = templates.drop_template_lines(table(spark, sf_dir, "documents"), min_docs=10)
+    """Lines of one and two tokens too: their path in the tree is the tokens they have."""
+    found = templates.drop_template_lines(table(spark, sf_dir, "documents"), min_docs=10, min_tokens=1)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
