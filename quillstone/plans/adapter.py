@@ -119,7 +119,7 @@ class Adapted:
     @cached_property
     def counters(self) -> DataFrame:
         helpful = F.when(F.col("event_type") == "view", F.floor("value")).otherwise(0)
-        return self._targets.where(F.col("event_type").isin("view", "error")).select(F.concat(F.lit("C"), F.lpad(F.col("event_id").cast("string"), 25, "0")).alias("id"), "claim", "machine", helpful.cast("long").alias("helpful"), (F.col("event_type") == "error").cast("long").alias("harmful"))
+        return self._targets.where(F.col("event_type").isin("view", "error")).select(F.concat(F.lit("C"), F.lpad(F.col("event_id").cast("string"), 25, "0")).alias("id"), "claim", "machine", helpful.cast("long").alias("helpful"), (F.col("event_type") == "error").cast("long").alias("harmful"), F.col("ts").alias("t_tx"))
 
     @cached_property
     def claims(self) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -467,6 +466,6 @@ def q_verify_prefix(a: Adapted) -> DataFrame:
 
 @query()
 def q_stream_catch_up(a: Adapted) -> DataFrame:
-    from ..streaming.demo import catch_up_twice
+    from ..streaming.demo import catch_up_twice, shared_home
 
-    return catch_up_twice(a, tempfile.mkdtemp(prefix="quillstone-"))
+    return catch_up_twice(a, shared_home(a.spark))

@@ -1,31 +1,67 @@
-"""A log written in two parts with a torn line between, caught up as a stream: the rows of the batch view."""
+"""All records of the driver's tables, written to a log in two parts and caught up as a stream: the rows of the batch view."""
 
 from __future__ import annotations
 
-import json
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import with_address
-from .source import catch_up, read_tables
+from ..functions.canonical import document_addresses, with_address
+from ..sources import log
+from .source import catch_up, local_path, read_tables
 
-#: Claims of the demonstration log.
-ROWS = 200
+#: Whose shard a record goes to; claims and documents of the tables have no machine.
+MACHINES = {"claim": "'m0'", "status": "src", "counter": "machine", "doc": "'m0'"}
+
+
+def shared_home(spark: SparkSession) -> str:
+    """A fresh folder under spark.checkpoint.dir, which all executors see; where that is unset (tests), a temp folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quillstone-")
+    return f"{base.rstrip('/')}/home-{uuid.uuid4().hex}"
+
+
+def records(adapted) -> dict[str, DataFrame]:
+    """All records by ``rec``."""
+    first = F.unix_timestamp(F.lit("2024-01-01 00:00:00"))
+    said = F.timestamp_seconds(first + F.expr("CAST(id AS LONG) div 1000") * 60)  # documents have no time of their own
+    claims = with_address(adapted.raw).select("id", "cid", "kind", "branch", "text", "why", "refs", "entities", "supersedes", "status", "confidence", "src", "t_valid", "t_tx")
+    moved = adapted.statuses.select("id", "claim", "to", "reason", "src", F.col("t_tx").cast("timestamp"))
+    gone = adapted.doc_statuses.select("id", "claim", "to", F.lit(None).cast("string").alias("reason"), F.lit("m0").alias("src"), F.timestamp_seconds(first + F.expr("CAST(claim AS LONG) div 1000") * 60).alias("t_tx"))
+    counters = adapted.counters.select("id", "claim", "machine", "helpful", "harmful", F.col("t_tx").cast("timestamp"))
+    docs = adapted.docs_all.select("id", document_addresses("body").alias("cid"), "branch", "name", "body", said.alias("t_tx"))
+    return {"claim": claims, "status": moved.unionByName(gone), "counter": counters, "doc": docs}
 
 
 def catch_up_twice(adapted, home: str) -> DataFrame:
-    claims = with_address(adapted.raw.where("id IS NOT NULL").orderBy("id").limit(ROWS)).select("id", "cid", "kind", "branch", "text", "why", "refs", "entities", "status", "confidence", "src")
-    lines = [json.dumps({"rec": "claim", **{k: v for k, v in r.asDict().items() if v is not None}, "t_tx": "2024-01-01T00:00:00Z"}, ensure_ascii=False) for r in claims.collect()]
-    path = os.path.join(home, "log/m0/2024-01.jsonl")
+    """(rec, branch, n, last) of what the stream has read; lines that it left out have the rec ``warning``.
+
+    Half of all records goes to bulk files before the first catch-up, half after it. The newest claim is a line
+    of a shard, torn at the first.
+    """
+    spark, found = adapted.spark, records(adapted)
+    args = (spark, home, f"{home}/tables", f"{home}/checkpoint")
+    newest = found["claim"].agg(F.max("id")).first()[0]
+    last = found["claim"].where(F.col("id") == newest).select(F.to_json(F.struct(F.lit("claim").alias("rec"), "*")))
+    lines = "".join(r[0] + "\n" for r in last.collect()).encode()
+    found["claim"] = found["claim"].where(~F.coalesce(F.col("id") == newest, F.lit(False)))
+    path = os.path.join(local_path(home), "log/m0/2024-01.jsonl")
     os.makedirs(os.path.dirname(path))
-    half = len(lines) // 2
-    args = (adapted.spark, home, os.path.join(home, "tables"), os.path.join(home, "checkpoint"))
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join(lines[:half]) + "\n" + lines[half][:20])
-    catch_up(*args)
-    with open(path, "a", encoding="utf-8") as f:
-        f.write(lines[half][20:] + "\n" + "\n".join(lines[half + 1 :]) + "\n")
-    catch_up(*args)
-    return read_tables(adapted.spark, args[2]).claims.groupBy("branch").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    for half, part in enumerate((lines[:20], lines[20:])):
+        with open(path, "ab") as f:
+            f.write(part)
+        for rec, df in found.items():
+            some = df.where(F.pmod(F.xxhash64("id"), F.lit(2)) == half)
+            log.write(some.select(F.lit(rec).alias("rec"), "*"), home, F.expr(MACHINES[rec]), "t_tx")
+        catch_up(*args)
+    return summary(read_tables(spark, args[2]))
+
+
+def summary(r: log.Records) -> DataFrame:
+    out = None
+    for rec, df in (("claim", r.claims), ("status", r.statuses), ("counter", r.counters), ("doc", r.docs), ("warning", r.warnings)):
+        df = df.select(F.lit(rec).alias("rec"), "branch" if rec in ("claim", "doc") else F.lit(None).cast("string").alias("branch"), "id" if rec != "warning" else F.lit(None).cast("string").alias("id"))
+        out = df if out is None else out.unionByName(df)
+    return out.groupBy("rec", "branch").agg(F.count("*").alias("n"), F.max("id").alias("last"))

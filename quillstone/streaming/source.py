@@ -1,15 +1,17 @@
-"""Streaming source over a growing log: whole lines past the byte that each shard was read to.
+"""Streaming source over a growing log: whole lines past the byte that each shard or bulk file was read to.
 
-The offset is {shard: bytes}. A torn last line isn't consumed and is looked at again later. Each shard's
-new bytes are a partition that an executor reads, so the home folder must be one that all of them see.
+The offset is {file: bytes}. A torn last line isn't consumed and is looked at again later. New bytes are cut
+into partitions that executors read, so the home folder must be one that all of them see.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,16 @@ from ..sources.log import parse
 NAME = "quillstone_log"
 #: Bytes of one partition; a longer line makes it longer.
 SLICE = 64 << 20
+#: Pieces of small files share a partition up to so many bytes.
+SHARED = 8 << 20
+#: Shards, and the files of bulk writes.
+PATTERNS = ("log/*/*.jsonl", "bulk/machine=*/month=*/part-*")
+_PLACE = re.compile(r"log/([^/]+)/([^/]+)\.jsonl$|bulk/machine=([^/]+)/month=([^/]+)/")
+
+
+def local_path(home: str) -> str:
+    """The path of a folder that may be given as a file: address."""
+    return urlparse(home).path if home.startswith("file:") else home
 
 
 def last_line_end(path: str, low: int = 0) -> int:
@@ -39,8 +51,10 @@ def last_line_end(path: str, low: int = 0) -> int:
 
 
 class Slice(InputPartition):
-    def __init__(self, path: str, machine: str, month: str, begin: int, end: int):
-        self.path, self.machine, self.month, self.begin, self.end = path, machine, month, begin, end
+    """Pieces (path, machine, month, begin, end) that one task reads."""
+
+    def __init__(self, pieces: list[tuple[str, str, str, int, int]]):
+        self.pieces = pieces
 
 
 class LogReader(DataSourceStreamReader):
@@ -52,43 +66,49 @@ class LogReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        for path in sorted(Path(self.home).glob("log/*/*.jsonl")):
+        for path in sorted(x for pattern in PATTERNS for x in Path(self.home).glob(pattern)):
             name = str(path.relative_to(self.home))
             self.reached[name] = last_line_end(str(path), self.reached.get(name, 0))
         return dict(self.reached)
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
-        out = []
+        out, size = [], SHARED
         for name, stop in sorted(end.items()):
             begin = start.get(name, 0)
             if stop < begin:
                 raise RuntimeError(f"{name} is shorter than the {begin} bytes read of it: rebuild with a new checkpoint")
             self.reached[name] = max(self.reached.get(name, 0), stop)
             path = os.path.join(self.home, name)
+            machine, month = (x for x in _PLACE.match(name).groups() if x)
             while begin < stop:
                 cut = min(begin + SLICE, stop)
                 if cut < stop:
                     with open(path, "rb") as f:
                         f.seek(cut)
                         cut += len(f.readline())
-                out.append(Slice(path, Path(name).parent.name, Path(name).stem, begin, min(cut, stop)))
+                cut = min(cut, stop)
+                if size + cut - begin > SHARED:
+                    out.append(Slice([]))
+                    size = 0
+                out[-1].pieces.append((path, machine, month, begin, cut))
+                size += cut - begin
                 begin = cut
         return out
 
     def read(self, partition: Slice) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            f.seek(partition.begin)
-            at = partition.begin
-            while at < partition.end:
-                line = f.readline()
-                at += len(line)
-                text = line.decode("utf-8", "replace").strip()
-                if text:
-                    yield (text, partition.machine, partition.month)
+        for path, machine, month, at, end in partition.pieces:
+            with open(path, "rb") as f:
+                f.seek(at)
+                while at < end:
+                    line = f.readline()
+                    at += len(line)
+                    text = line.decode("utf-8", "replace").strip()
+                    if text:
+                        yield (text, machine, month)
 
 
 class LogSource(DataSource):
-    """Option ``home``: the folder that holds log/."""
+    """Option ``home``: the folder that holds log/ and bulk/."""
 
     @classmethod
     def name(cls) -> str:
@@ -98,7 +118,7 @@ class LogSource(DataSource):
         return "value string, shard_machine string, shard_month string"
 
     def streamReader(self, schema) -> LogReader:
-        return LogReader(self.options["home"])
+        return LogReader(local_path(self.options["home"]))
 
 
 def read_stream(spark: SparkSession, home: str) -> DataFrame:
