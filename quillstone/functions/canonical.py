@@ -106,22 +106,38 @@ def merkle_root(addresses) -> str:
     return ADDRESS_PREFIX + (top[0].hex() if top else blake3([b""])[0])
 
 
-def merkle_roots(claims: DataFrame, by: list[str]) -> DataFrame:
-    """(by, root, n) over the distinct addresses of each group, in a tree of bounded tasks.
+def climb(level: list[bytes]) -> bytes:
+    """The node above all of ``level``, which has one node at least; an odd last node moves up."""
+    while len(level) > 1:
+        odd = level[-1:] if len(level) % 2 else []
+        level = [bytes.fromhex(x) for x in blake3([b"\1" + level[k] + level[k + 1] for k in range(0, len(level) - 1, 2)])] + odd
+    return level[0]
 
-    The leaves of a group are cut, in order, into runs of 2**12; each run is a perfect subtree, so the runs'
-    roots are the leaves of the rest of the tree, and a group of any size never meets in one task whole.
-    """
+
+#: Leaves of one subtree of a distributed tree.
+RUN = 1 << 12
+
+
+def placed_leaves(distinct: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct (by, cid, ...) with the place ``_p`` of each address in its group; no group is sorted in one task."""
     from pyspark.sql import Window
 
-    distinct = claims.select(*by, "cid").where("cid IS NOT NULL").distinct()
-    # position of each address in its group: by ranges of the address first, then within the range
+    # by ranges of the address first, then within the range
     ranged = distinct.withColumn("_range", F.substring("cid", len(ADDRESS_PREFIX) + 1, 3))
     counts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
     place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("cid")) - 1
-    placed = ranged.withColumn("_p", place).join(offsets, [*by, "_range"]).withColumn("_run", F.expr("(_before + _p) div 4096"))
+    return ranged.withColumn("_place", place).join(offsets, [*by, "_range"]).withColumn("_p", F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
+def merkle_roots(claims: DataFrame, by: list[str]) -> DataFrame:
+    """(by, root, n) over the distinct addresses of each group, in a tree of bounded tasks.
+
+    The leaves of a group are cut, in order, into runs of 2**12; each run is a perfect subtree, so the runs'
+    roots are the leaves of the rest of the tree, and a group of any size never meets in one task whole.
+    """
+    placed = placed_leaves(claims.select(*by, "cid").where("cid IS NOT NULL").distinct(), by).withColumn("_run", F.expr(f"_p div {RUN}"))
 
     @F.pandas_udf(T.StringType())
     def subtree(cids: pd.Series) -> str:
@@ -129,11 +145,7 @@ def merkle_roots(claims: DataFrame, by: list[str]) -> DataFrame:
 
     @F.pandas_udf(T.StringType())
     def top(nodes: pd.Series) -> str:
-        level = [bytes.fromhex(x[8:]) for x in sorted(nodes)]
-        while len(level) > 1:
-            odd = level[-1:] if len(level) % 2 else []
-            level = [bytes.fromhex(x) for x in blake3([b"\1" + level[k] + level[k + 1] for k in range(0, len(level) - 1, 2)])] + odd
-        return ADDRESS_PREFIX + level[0].hex()
+        return ADDRESS_PREFIX + climb([bytes.fromhex(x[8:]) for x in sorted(nodes)]).hex()
 
     runs = placed.groupBy(*by, "_run").agg(subtree("cid").alias("_node"))
     numbers = placed.groupBy(*by, "_run").agg(F.count("*").alias("_n"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.canonical import merkle_root
+from ..functions.blake3 import blake3
+from ..functions.canonical import ADDRESS_PREFIX, RUN, climb, merkle_root, placed_leaves
 from ..functions.text import jaccard, label_of, project, words_of
 
 
@@ -90,18 +92,55 @@ def refine(claims: DataFrame, threshold: float = 0.5, most: int = 30) -> DataFra
 def verify(pool: DataFrame, root: str, back: int = 500) -> DataFrame:
     """(behind, root): how many of the newest claims must be left out for the pool to have ``root``; none if it never had.
 
-    Looks at most ``back`` records back, which is the feature; the pool of one branch is one group.
+    Looks at most ``back`` records back, which is the feature. Without its newest claims the pool's tree keeps
+    the order of its leaves, so run j of each state lies within RUN + ``back`` leaves from place j * RUN of the
+    whole: a task takes those, whatever the size of the pool, and gives the run's subtree in all states.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        cids = group.sort_values("id")["cid"].tolist()
-        for behind in range(min(back, len(cids)) + 1):
-            found = merkle_root(cids[: len(cids) - behind])
-            if found.startswith(root):
-                return pd.DataFrame({"behind": [behind], "root": [found]})
-        return pd.DataFrame({"behind": pd.Series([], dtype="int64"), "root": pd.Series([], dtype="object")})
-
-    return pool.select("id", "cid").groupBy().applyInPandas(run, "behind long, root string")
+    spark = pool.sparkSession
+    pool = pool.select("id", "cid").where("cid IS NOT NULL").persist()  # read four times
+    newest = pool.orderBy(F.desc("id"), F.desc("cid")).limit(back).collect()
+    # an address goes with the oldest of its claims: in state k if that is among the k newest
+    last = {r["cid"]: k + 1 for k, r in enumerate(newest)}
+    gone = spark.createDataFrame([(c, k, sum(r["cid"] == c for r in newest)) for c, k in last.items()], "cid string, gone int, _new long")
+    counts = pool.groupBy("cid").agg(F.count("*").alias("_all"))
+    leaves = counts.join(F.broadcast(gone), "cid", "left").select(F.lit(0).alias("_g"), "cid", F.when(F.col("_all") == F.col("_new"), F.col("gone")).alias("gone"))
+    placed = placed_leaves(leaves, ["_g"]).persist()
+    removed = np.array(sorted(map(tuple, placed.where("gone IS NOT NULL").select("_p", "gone").collect())), np.int64).reshape(-1, 2)
+    states = min(back, len(newest))
+    runs = F.expr(f"explode(sequence(greatest(0, (_p - {back}) div {RUN}), _p div {RUN}))")
+    nodes = placed.select("_p", "cid", "gone", runs.alias("run")).groupBy("run").applyInPandas(_run_nodes(removed, states, RUN), "behind long, run long, node string")
+
+    @F.pandas_udf("string")
+    def top(node: pd.Series) -> str:
+        return ADDRESS_PREFIX + climb([bytes.fromhex(x[8:]) for x in sorted(node)]).hex()
+
+    roots = nodes.groupBy("behind").agg(top(F.concat(F.lpad(F.hex("run"), 8, "0"), "node")).alias("root"))
+    if 0 < len(newest) and pool.limit(back + 1).count() == len(newest):  # all of it can be left out
+        roots = roots.unionByName(spark.createDataFrame([(len(newest), merkle_root([]))], "behind long, root string"))
+    return roots.where(F.col("root").startswith(root)).orderBy("behind").limit(1)
+
+
+def _run_nodes(removed: np.ndarray, states: int, size: int):
+    """The subtree of a run in every state: removed are the (place, state it is gone in) of leaves that go."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        j = int(key[0])
+        group = group.sort_values("_p")
+        leaf = [bytes.fromhex(x) for x in blake3([b"\0" + c.encode() for c in group["cid"]])]
+        gone = group["gone"].fillna(states + 1).to_numpy(np.int64)
+        before = removed[removed[:, 0] < j * size, 1]
+        known, rows = {}, []
+        for k in range(states + 1):
+            skip, left = int((before <= k).sum()), gone > k
+            state = (skip, int(left.sum()))  # leaves only go, so the number tells which are left
+            if state not in known:
+                some = np.flatnonzero(left)[skip : skip + size]
+                known[state] = climb([leaf[i] for i in some]).hex() if len(some) else None
+            if known[state] is not None:
+                rows.append((k, j, known[state]))
+        return pd.DataFrame(rows, columns=["behind", "run", "node"])
+
+    return run
 
 
 def defined_table(spark: SparkSession, branches) -> DataFrame:

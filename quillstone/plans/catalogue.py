@@ -457,11 +457,17 @@ def q_eval_recall(a: Adapted) -> DataFrame:
     return packer.score_eval(out, wanted)
 
 
+#: Claims that the root to be verified is behind by, where the pool has twice as many.
+BEHIND = 50
+
+
 @query()
 def q_verify_prefix(a: Adapted) -> DataFrame:
-    part = canonical.with_address(a.raw).where("branch = 'es/research'").orderBy("id").limit(200)
-    root = canonical.merkle_root(r["cid"] for r in part.orderBy("id").limit(150).select("cid").collect())
-    return listing.verify(part, root[:11])
+    seen = pool(a.claims, BRANCHES.pool_table(a.spark, ["es/research"])).where("status = 'active'")
+    part = canonical.with_address(seen).select("for_branch", "id", "cid").persist()
+    newest = part.orderBy(F.desc("id"), F.desc("cid")).select("id").limit(min(BEHIND, part.count() // 2))
+    root = canonical.merkle_roots(part.join(F.broadcast(newest), "id", "left_anti"), ["for_branch"]).first()
+    return listing.verify(part, root["root"][:11] if root else canonical.merkle_root([]))
 
 
 @query()

@@ -1,9 +1,12 @@
 """The registered queries leave out no part of their job."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from oracle import SF
-from quillstone.operators import views
+from quillstone.functions.canonical import merkle_root
+from quillstone.operators import listing, views
 from quillstone.plans import catalogue
 from quillstone.plans.adapter import Adapted
 
@@ -23,3 +26,25 @@ def test_stream_reads_all_records(spark, tmp_path):
     for mine, theirs in ((views.counter_totals(streamed.counters), views.counter_totals(a.counters)), (views.effective_status(streamed.claims, streamed.statuses).select("id", "status"), views.effective_status(a.raw, a.statuses).select("id", "status"))):
         assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, theirs.select(*mine.columns).collect()))
     assert len({(r["machine"], r["month"]) for r in spark.read.text(f"{home}/bulk").select("machine", "month").distinct().collect()}) > 4
+
+
+def test_verification_takes_the_whole_active_pool(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    a = Adapted(spark, sf)
+    rows = catalogue.canonical.with_address(a.claims.where("branch = 'es/research' AND status = 'active'")).select("id", "cid").collect()
+    cids = [r["cid"] for r in sorted(rows)]
+    k = min(50, len(cids) // 2)
+    (got,) = catalogue.QUERIES["q_verify_prefix"](spark, sf).collect()
+    assert k > 3 and got["root"] == catalogue.canonical.merkle_root(cids[: len(cids) - k]) and got["behind"] == k
+
+
+def test_verification_equals_the_plain_walk_back(spark, monkeypatch):
+    monkeypatch.setattr(listing, "RUN", 16)
+    rng = random.Random(4)
+    for n, back in ((1, 5), (40, 60), (150, 40)):
+        rows = [(f"{i:04d}", f"b3:{rng.randrange(n * 3):x}".ljust(20, "e")) for i in range(n)]  # some addresses twice
+        pool = spark.createDataFrame(rows, "id string, cid string")
+        states = [merkle_root(c for _, c in rows[: n - k]) for k in range(min(back, n) + 1)]
+        for k in {0, 1, len(states) // 2, len(states) - 1}:
+            assert [tuple(r) for r in listing.verify(pool, states[k][:30], back).collect()] == [(states.index(states[k]), states[k])]
+        assert listing.verify(pool, "b3:none", back).count() == 0
