@@ -448,8 +448,8 @@ def q_pack_task(a: Adapted) -> DataFrame:
 
 @query()
 def q_eval_recall(a: Adapted) -> DataFrame:
-    good = a.table("labels").where("quality = 1").select("doc_id").limit(20)
-    wanted = a.raw.join(F.broadcast(good), "doc_id").select(F.col("branch"), F.array(F.left("text", F.lit(40))).alias("expect"))
+    good = a.table("labels").where("quality = 1").select("doc_id").distinct()
+    wanted = a.raw.select("doc_id", "branch", F.array(F.left("text", F.lit(40))).alias("expect")).join(good, "doc_id").select("branch", "expect")
     out = None
     for budget in (1000, 4000):
         packed = _packs(a, "markdown", budget=budget).withColumn("budget", F.lit(budget))

@@ -48,3 +48,17 @@ def test_verification_equals_the_plain_walk_back(spark, monkeypatch):
         for k in {0, 1, len(states) // 2, len(states) - 1}:
             assert [tuple(r) for r in listing.verify(pool, states[k][:30], back).collect()] == [(states.index(states[k]), states[k])]
         assert listing.verify(pool, "b3:none", back).count() == 0
+
+
+def test_recall_asks_for_every_good_label(spark):
+    a = Adapted(spark, SF)
+    good = {r["doc_id"] for r in a.table("labels").where("quality = 1").collect()}
+    asked = [(r["branch"], r["text"][:40].lower()) for r in a.raw.collect() if r["doc_id"] in good]
+    got = {r["budget"]: r for r in catalogue.QUERIES["q_eval_recall"](spark, SF).collect()}
+    assert len(asked) > 20
+    for budget in (1000, 4000):
+        packs = {r["for_branch"]: r for r in catalogue._packs(a, "markdown", budget=budget).collect()}
+        seen = [(b, e) for b, e in asked if b in packs]
+        hits = sum(e in packs[b]["markdown"].lower() for b, e in seen)
+        tokens = sum(packs[b]["tokens"] for b, _ in seen) // len(seen)
+        assert (got[budget]["hits"], got[budget]["total"], got[budget]["mean_tokens"]) == (hits, len(seen), tokens) and hits
