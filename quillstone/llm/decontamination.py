@@ -23,7 +23,7 @@ from .runtime import map_batches, materialize, sized_join, texts, word_windows
 
 K1, B = 1.2, 0.75
 BLOCK = 4
-#: Items longer than this many words are indexed in pieces, each an entry of its own.
+#: Items longer than this many words are searched by pieces of as many, and verified as a whole.
 PIECE_WORDS = 128
 #: Words of test items in one index, which all executors get; more items are searched in further passes.
 INDEX_WORDS = 2_000_000
@@ -63,21 +63,30 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
 
 
 class Index:
-    """Inverted index over item pieces; weights are BM25 parts over the piece's own score."""
+    """Inverted index over item pieces; weights are BM25 parts over the piece's own score.
+
+    Pieces of a long item all have PIECE_WORDS words and overlap where its length is no multiple of that.
+    """
 
     def __init__(self, items: list[tuple[int, str]], shingle: int):
         self.item, self.words, self.parts = [], [], []
+        #: Words of the item before and after each piece, and the words of a whole long item.
+        self.around: list[tuple[int, int]] = []
+        long: list[np.ndarray | None] = []
         for item_id, text in items:
             hashes, at = word_hashes([text, *split_item(text)])
             whole = hashes[: at[1]]
             question, answer = hashes[at[1] : at[2]], hashes[at[2] : at[3]]
-            for low in range(0, len(whole), PIECE_WORDS):
+            parts = [(min(shingle, len(p)), shingles(p, shingle)) for p in (question if len(question) else answer, answer if len(answer) else question)]
+            pieces = -(-len(whole) // PIECE_WORDS)
+            for k in range(pieces):
+                low = (len(whole) - PIECE_WORDS) * k // (pieces - 1) if pieces > 1 else 0
                 piece = whole[low : low + PIECE_WORDS]
                 self.item.append(item_id)
                 self.words.append(piece)
-                # of a long item each piece is verified by its own halves
-                q, a = (question, answer) if len(whole) <= PIECE_WORDS else (piece[: -(len(piece) // 4) or None], piece[-max(1, len(piece) // 4) :])
-                self.parts.append([(min(shingle, len(p)), shingles(p, shingle)) for p in (q if len(q) else a, a if len(a) else q)])
+                self.parts.append(parts)
+                self.around.append((low, len(whole) - low - len(piece)))
+                long.append(whole if pieces > 1 else None)
         n = len(self.words)
         self.longest = max(map(len, self.words), default=1)
         lengths = np.array([len(w) for w in self.words], float)
@@ -90,6 +99,15 @@ class Index:
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[piece] / max(lengths.mean() if n else 1, 1)))
         weight /= np.bincount(piece, weight, n)[piece] if n else 1
+        self.whole: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n
+        for p in (p for p in range(n) if long[p] is not None):
+            if p and long[p] is long[p - 1]:
+                self.whole[p] = self.whole[p - 1]
+                continue
+            u, c = np.unique(long[p], return_counts=True)
+            t = np.searchsorted(self.terms, u)
+            part = idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(long[p]) / lengths.mean()))
+            self.whole[p] = (t, part / part.sum())
         order = np.lexsort((piece, term))
         self.post_piece, self.post_weight = piece[order], weight[order]
         self.post_at = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
@@ -141,6 +159,11 @@ class Index:
         score = np.bincount(piece[some], self.post_weight[at][some], len(self.words))
         return [(int(p), float(score[p])) for p in np.flatnonzero(score >= threshold - 1e-9)]
 
+    def whole_score(self, piece: int, terms: np.ndarray) -> float:
+        """Score of the whole long item against the distinct ``terms``, over its own."""
+        own, part = self.whole[piece]
+        return float(part[np.isin(own, terms)].sum())
+
     def verify(self, piece: int, words: np.ndarray) -> tuple[float, float]:
         """Shares of the question's and of the answer's shingles that the passage has."""
         out = []
@@ -177,8 +200,13 @@ def _search(index, threshold: float, overlap: float):
                     i, a, z = int(doc[k]), int(begin[k]), int(end[k])
                     found = np.unique(term[a:z])
                     for piece, score in own.search(found[found >= 0], threshold):
-                        q, w = own.verify(piece, hashes[a:z])
-                        if q >= overlap and w >= overlap:
+                        # a long item is verified over the words that hold all of it if they hold the piece
+                        before, after = own.around[piece]
+                        a0, z0 = max(at[i], a - before), min(at[i + 1], z + after)
+                        if own.whole[piece] is not None:
+                            score = own.whole_score(piece, term[a0:z0])
+                        q, w = own.verify(piece, hashes[a0:z0])
+                        if score >= threshold - 1e-9 and q >= overlap and w >= overlap:
                             key = (i, own.item[piece])
                             best[key] = max(best.get(key, (0.0,)), (score, q, w))
                 rows += [(ids[low + i], item, *hit) for (i, item), hit in best.items()]
@@ -194,7 +222,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: fl
     ``score`` is the best passage's BM25 over the item's own. A pair is returned once for each document
     row, with its best passage. Null and empty texts, on either side, match nothing; repeated items with
     one identifier count as one; empty tables give no pairs; other columns are not read. An item longer
-    than PIECE_WORDS words leaks if one of its pieces does.
+    than PIECE_WORDS words is found by its pieces, and leaks as others do: with its whole question and answer.
     """
     spark = docs.sparkSession
     words = F.size(F.split(F.col(item_text), r"\s+"))

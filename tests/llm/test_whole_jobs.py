@@ -1,6 +1,10 @@
 """The registered queries leave out no part of their job."""
 
-from quillstone.llm import queries
+import random
+
+from quillstone.llm import decontamination, queries
+
+from .conftest import words
 
 
 def save(spark, home, name, rows, schema):
@@ -12,3 +16,19 @@ def test_short_lines_are_dropped_too(spark, tmp_path):
     save(spark, tmp_path, "documents", docs, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in queries.op4_line_templates(spark, str(tmp_path)).collect()}
     assert got == {**{i: (4, 2) for i in range(10)}, 10: (2, 1), 11: (1, 0)}
+
+
+def test_long_items_leak_by_their_whole_question_and_answer(spark):
+    rng = random.Random(12)
+    items = [(n, words(rng, n)) for n in (129, 131, 300)] + [(5, words(rng, 20))]
+    docs, want = [], set()
+    for n, text in items[:3]:
+        w = text.split()
+        whole = " ".join([words(rng, 170), text, words(rng, 90)])
+        for kind, t in enumerate((whole, w[-1], " ".join(w[-4:]), words(rng, 50) + " " + w[-1] + " " + words(rng, 50), " ".join(w[:128]) if n == 300 else " ".join(w[: n * 3 // 4]), " ".join(w[-(n // 4) :]))):
+            docs.append((n * 10 + kind, t))
+        want.add((n * 10, n))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.leaks(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert all(abs(r["score"] - 1) < 1e-9 for r in got)
