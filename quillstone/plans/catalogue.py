@@ -450,9 +450,10 @@ def q_pack_task(a: Adapted) -> DataFrame:
 def q_eval_recall(a: Adapted) -> DataFrame:
     good = a.table("labels").where("quality = 1").select("doc_id").distinct()
     wanted = a.raw.select("doc_id", "branch", F.array(F.left("text", F.lit(40))).alias("expect")).join(good, "doc_id").select("branch", "expect")
+    claims, sources = canonical.with_address(a.claims), BRANCHES.pool_table(a.spark)  # one plan, so its shuffles are reused
     out = None
     for budget in (1000, 4000):
-        packed = _packs(a, "markdown", budget=budget).withColumn("budget", F.lit(budget))
+        packed = packer.packs(claims, sources, "markdown", budget=budget).withColumn("budget", F.lit(budget))
         out = packed if out is None else out.unionByName(packed)
     return packer.score_eval(out, wanted)
 
