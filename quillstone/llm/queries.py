@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, exact, langid, near, packing, resampling, substring, templates, toxicity
-from .runtime import materialize, table
+from .runtime import BROADCAST_ROWS, materialize, table
 
 
 def tokenizer_path() -> str:
@@ -15,17 +15,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Labelled good documents that the target model of op1 is fitted on, at most: the first by a hash of their id.
-TARGET_ROWS = 20_000
-
-
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: at most TARGET_ROWS documents labelled good. k: the share of the labels that is good, of all documents."""
+    """Target: all documents labelled good. k: the share of the labels that is good, of all documents."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS)
+    good = materialize(labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct())
+    blocks = max(1, -(-good.count() // BROADCAST_ROWS))  # ids are broadcast, so no texts are shuffled
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
+    target = [docs.select("doc_id", "text").join(F.broadcast(good.where(block == k)), "doc_id", "left_semi") for k in range(blocks)]
     share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     k = round((0.0 if share is None else share) * docs.count())
-    return resampling.resample(docs, docs.select("doc_id", "text").join(F.broadcast(materialize(good)), "doc_id", "left_semi"), k)
+    return resampling.resample(docs, target, k)
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

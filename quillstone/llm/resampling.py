@@ -90,17 +90,17 @@ def first_k(rows: DataFrame, columns: list[str], k: int) -> Column:
     return (here > F.lit(at)) | ((here == F.lit(at)) & first_k(rows.where(here == F.lit(at)), columns[1:], k))
 
 
-def resample(docs: DataFrame, target: DataFrame, k: int, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame | list[DataFrame], k: int, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, n_grams, log_weight, gumbel_key, selected.
 
-    ``docs`` is the raw corpus and ``target`` the texts to resemble. The ``k`` rows with the largest
+    ``docs`` is the raw corpus and ``target`` the texts to resemble, or blocks of them. The ``k`` rows with the largest
     log_weight + Gumbel noise are selected; the noise is a function of seed, identifier and text. Null
     texts are empty and have weight 0 on the log scale. Ties go to the smaller identifier; rows that
     repeat identifier and text count one by one. With k of at least the number of rows all are selected. An
     empty corpus gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    ratio = spark.sparkContext.broadcast(log_ratio(model(target, text_col), model(docs, text_col)))
+    ratio = spark.sparkContext.broadcast(log_ratio(sum(model(t, text_col) for t in (target if isinstance(target, list) else [target])), model(docs, text_col)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ratio.value

@@ -32,3 +32,13 @@ def test_long_items_leak_by_their_whole_question_and_answer(spark):
     got = decontamination.leaks(df, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
     assert all(abs(r["score"] - 1) < 1e-9 for r in got)
+
+
+def test_target_model_counts_every_good_document(spark, tmp_path, monkeypatch):
+    save(spark, tmp_path, "documents", [(i, f"text w{i}") for i in range(20_050)], "doc_id long, text string")
+    save(spark, tmp_path, "labels", [(i, 1) for i in range(20_020)] + [(3, 1), (20_030, 0)], "doc_id long, quality int")
+    monkeypatch.setattr(queries, "BROADCAST_ROWS", 9000)
+    seen = []
+    monkeypatch.setattr(queries.resampling, "resample", lambda docs, target, k: seen.extend(target))
+    queries.op1_importance_resampling(spark, str(tmp_path))
+    assert len(seen) == 3 and sorted(r["doc_id"] for t in seen for r in t.collect()) == list(range(20_020))
