@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec
-from .runtime import crc32_text, map_batches, materialize, texts
+from .runtime import beside_text, crc32_text, map_batches, materialize, texts
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -163,18 +164,22 @@ def train(docs: DataFrame, eligible: Column, fit_rows: int = 3_000, calibration:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs``, lang_pred and lang_score, from whole texts alone; null is empty."""
-    keep = list(docs.columns) if keep is None else keep
+    """The columns ``keep`` (default: all) of every row of ``docs``, lang_pred and lang_score, from whole texts alone.
+
+    A null or empty text, and any without a letter, is ``und`` with score 0; of languages equally likely the first by
+    name is taken; rows that repeat a text have the same result. Columns of ``docs`` called lang_pred or lang_score are
+    replaced. An empty table gives no rows.
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "lang_score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed number of slots by languages
-    source = docs.select(*keep, F.col(text_col).alias("_source_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, lang_score double"
+    source, fields = beside_text(docs, keep, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = shared.value.predict(texts(b.column("_source_text")))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "lang_score"])
+            names, scores = shared.value.predict(texts(b.column(len(keep))))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "lang_score"])
 
-    return map_batches(source, run, schema)
+    return map_batches(source, run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
 
 
 def held_out_fifth(id_col: str = "doc_id") -> Column:

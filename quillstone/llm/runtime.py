@@ -53,6 +53,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def beside_text(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, T.StructType]:
+    """The columns ``keep`` by number, then the text, so that names can't clash; and the fields of ``keep`` as they were."""
+    kept = docs.select(*(column(c) for c in keep))
+    return docs.select(*(column(c).alias(f"c{k}") for k, c in enumerate(keep)), column(text_col).cast("string").alias("text")), kept.schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

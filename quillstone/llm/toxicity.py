@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
-The terms of a text are its lower-case words and their prefixes of 3, 4 and 5 letters (inflected
+The terms of a passage are its lower-case words and their prefixes of 3, 4 and 5 letters (inflected
 insults share a prefix), hashed. The machine adds to the linear weights the products of learned
-factors of every pair of terms that occur together. It is fitted on a bounded sample of labelled rows;
-terms with a significant chi-squared statistic in that sample take part.
+factors of every pair of terms that occur together. A text is cut into overlapping passages, each scored
+alone, and has the score of its worst passage: sums over pairs don't grow with the text, and what is said
+together must stand together. The machine learns from every term of a bounded sample of labelled rows; no
+term is left out by a test of its own, since a word may be toxic only beside another.
 """
 
 from __future__ import annotations
@@ -15,149 +17,275 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec
-from .runtime import crc32_text, map_batches, materialize, texts
+from .runtime import beside_text, crc32_text, map_batches, materialize, texts
 
 BITS = 20
 PREFIXES = (3, 4, 5)
+#: Words of one cell; two neighbouring cells of a text are a passage, so any CELL words in a row share one.
+CELL = 64
+#: Added to AdaGrad's root: a term's first steps follow the size of its gradient.
+DAMP = 0.05
+#: Ridge on linear weights and on factors, times the root of (mean terms of a passage / number of texts).
+RIDGE_LINEAR, RIDGE_FACTORS = 0.07, 0.27
+#: Parameters nearer to 0 than this are 0 in the fitted machine.
+LEAST = 1e-3
 
 
-def doc_terms(values: list[str], active: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, term) pairs, each once, sorted; only terms marked in ``active`` if given."""
-    found = []
+def passages(values: list[str], active: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each passage, where each passage begins in the terms and their end, terms).
+
+    A passage's terms are distinct and sorted, and only those marked in ``active`` if that is given. Every
+    text has one passage at least, which may be empty.
+    """
+    owners, sizes, terms = [], [], []
     for low, high in textvec.batches(values):
         codes, at = textvec.join([x.lower() for x in values[low:high]])
         begin, end = textvec.spans((textvec.classes()[codes] == 1).astype(np.uint8))
-        hasher, doc = textvec.Hasher(codes), textvec.owner(begin, at)
+        hasher, first = textvec.Hasher(codes), np.searchsorted(begin, at)
+        words = np.diff(first)
+        cells = np.maximum(1, -(-words // CELL))
+        base = np.cumsum(cells) - cells
+        text = np.repeat(np.arange(high - low), words)
+        cell = base[text] + (np.arange(len(begin)) - first[text]) // CELL
+        owner = np.repeat(np.arange(high - low), cells)
+        keys = []
         for k in (0, *PREFIXES):
             some = end - begin > k if k else slice(None)
             b = begin[some]
             term = hasher.of(b, b + k if k else end) ^ np.uint64(k * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)
             term = (term >> np.uint64(64 - BITS)).astype(np.int64)
-            key = (doc[some] + low) << BITS | term
-            found.append(np.unique(key[active[term]] if active is not None else key))
-    key = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-    return key >> BITS, key & ((1 << BITS) - 1)
+            key = cell[some] << BITS | term
+            keys.append(key[active[term]] if active is not None else key)
+        key = np.unique(np.concatenate(keys))
+        at_cell = key >> BITS
+        # passage c is cells c and c + 1 of a text; the last cell has none of its own unless it is alone
+        last = np.zeros(len(owner), bool)
+        last[base + cells - 1] = True
+        opens = ~last | (cells[owner] == 1)
+        follows = np.ones(len(owner), bool)
+        follows[base] = False
+        key = np.unique(np.concatenate([key[opens[at_cell]], key[follows[at_cell]] - (1 << BITS)]))
+        sizes.append(np.bincount(key >> BITS, minlength=len(owner))[opens])
+        owners.append(owner[opens] + low)
+        terms.append(key & ((1 << BITS) - 1))
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *owners]), np.cumsum(np.concatenate([[0], *sizes])).astype(np.int64), np.concatenate([none, *terms])
+
+
+def sums(rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the slices of ``rows`` from each of ``begin`` to the next; an empty slice gives 0."""
+    out = np.zeros((len(begin) - 1, *rows.shape[1:]), rows.dtype)
+    full = begin[1:] > begin[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(rows, begin[:-1][full], axis=0)
+    return out
+
+
+def margins(params: np.ndarray, at: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(w.x + (|Vx|^2 - sum of |v_i|^2 x_i) / 2, Vx) of each passage; ``params`` are rows (w, v) that ``at`` points to."""
+    total = sums(params[at], begin)
+    squares = sums((params[:, 1:] ** 2).sum(axis=1)[at], begin)
+    vx = total[:, 1:]
+    return total[:, 0].astype(float) + 0.5 * ((vx**2).sum(axis=1) - squares), vx
+
+
+def gradient(params: np.ndarray, at: np.ndarray, begin: np.ndarray, vx: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of ``params`` that some passage has, the loss's gradient there) for the loss's ``slope`` at each passage's margin."""
+    passage = np.repeat(np.arange(len(slope)), np.diff(begin))
+    order = np.argsort(at, kind="stable")
+    ranked = at[order]
+    edge = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.empty(0, np.int64)
+    hit = ranked[edge]
+    each = np.concatenate([slope[:, None], slope[:, None] * vx], axis=1).astype(params.dtype)
+    out = np.add.reduceat(each[passage[order]], edge, axis=0) if len(edge) else np.empty((0, params.shape[1]), params.dtype)
+    out[:, 1:] -= params[hit, 1:] * out[:, :1]
+    return hit, out
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def worst(margin: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The passage with the largest margin of each text, the first of equal ones; ``first`` are the texts' first passages."""
+    text = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(margin)]))
+    top = np.flatnonzero(margin == np.maximum.reduceat(margin, first)[text])
+    return top[np.r_[True, text[top][1:] != text[top][:-1]]]
 
 
 @dataclass
 class Machine:
-    """bias + w.x + (|Vx|^2 - sum of |v_i|^2 x_i) / 2 over the terms present."""
+    """``scale`` * (the worst passage's margin) + ``bias``, on the logistic scale."""
 
-    slots: np.ndarray  # 1 + place in w of each hashed term, 0 if it takes no part
+    slots: np.ndarray  # 1 + place in params of each hashed term, 0 if it says nothing
+    params: np.ndarray  # (w, v) of each term
+    scale: float
     bias: float
-    w: np.ndarray
-    v: np.ndarray
+
+    def margins(self, values: list[str]) -> np.ndarray:
+        if not len(self.params) or not values:
+            return np.zeros(len(values))
+        owner, begin, term = passages(values, self.slots > 0)
+        margin, _ = margins(self.params, self.slots[term] - 1, begin)
+        return np.maximum.reduceat(margin, np.searchsorted(owner, np.arange(len(values))))
 
     def score(self, values: list[str]) -> np.ndarray:
-        doc, term = doc_terms(values, self.slots > 0)
-        at, n = self.slots[term] - 1, len(values)
-        total = np.bincount(doc, self.w[at] - 0.5 * (self.v[at] ** 2).sum(axis=1), n)
-        for k in range(self.v.shape[1]):
-            total = total + 0.5 * np.bincount(doc, self.v[at, k], n) ** 2
-        return 1 / (1 + np.exp(-np.clip(total + self.bias, -40, 40)))
+        return sigmoid(self.scale * self.margins(values) + self.bias)
+
 
+def _batches(x_rows: list[np.ndarray], first: np.ndarray, order: np.ndarray, size: int) -> Iterator[tuple]:
+    """(texts, first passage of each, begin of each passage, places in ``cols``, cols) of fixed batches of texts."""
+    ends = np.r_[first[1:], len(x_rows)]
+    for low in range(0, len(order), size):
+        some = order[low : low + size]
+        own = [x_rows[p] for i in some for p in range(first[i], ends[i])]
+        cols, at = np.unique(np.concatenate(own), return_inverse=True)
+        begin = np.cumsum([0, *map(len, own)])
+        yield some, np.cumsum(np.r_[0, (ends - first)[some]])[:-1], begin, at.astype(np.uint16 if len(cols) < 1 << 16 else np.int32), cols
 
-def fit(x_rows: list[np.ndarray], y: np.ndarray, terms: int, factors: int = 8, epochs: int = 30, batch: int = 256, rate: float = 0.05, l2_linear: float = 1e-5, l2_factors: float = 0.03, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adam on the logistic loss, both labels with the same weight in sum; ``x_rows`` has the places of each row's terms.
 
-    Factors are held down more than linear weights, so that a term that says enough alone doesn't need others.
+def fit(x_rows: list[np.ndarray], y: np.ndarray, terms: int, factors: int = 8, epochs: int = 10, batch: int = 64, rate: float = 0.2, steps: int = 800, first: np.ndarray | None = None, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """(bias, w, v) by AdaGrad on the logistic loss of each text's worst passage, both labels with the same weight in sum.
+
+    ``x_rows`` has the places of each passage's terms and ``first`` the first passage of each text (None: each
+    passage is a text). The ridge holds factors down more than linear weights, and shrinks every parameter in
+    every step, though a term is only touched, and its shrinking made up for, when a passage has it. Few rows
+    are gone over until there were ``steps`` steps.
     """
     rng = np.random.default_rng(seed)
-    n = len(x_rows)
+    first = np.arange(len(x_rows)) if first is None else first
+    n = len(first)
     share = min(max(y.mean() if n else 0.5, 1e-3), 1 - 1e-3)
-    bias = np.array([np.log(share / (1 - share))])
-    heavy = (1 - share) / share
-    w, v = np.zeros(terms), rng.normal(0, 0.02, (terms, factors))
-    params = [bias, w, v]
-    m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
+    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
+    params = np.concatenate([np.zeros((terms, 1)), rng.normal(0, 0.02, (terms, factors))], axis=1).astype(np.float32)
+    energy, seen = np.zeros_like(params), np.zeros(terms)
+    noise = np.sqrt(np.mean([len(x) for x in x_rows]) / n) if n else 0.0
+    rates = np.r_[rate, np.full(factors, 2.5 * rate)].astype(np.float32)
+    pull = rates * np.r_[RIDGE_LINEAR, np.full(factors, RIDGE_FACTORS)].astype(np.float32) * np.float32(noise)
+    parts = list(_batches(x_rows, first, rng.permutation(n), batch))
+    epochs = max(epochs, -(-steps // max(1, len(parts))))
+    bias = bias_energy = clock = 0.0
     for epoch in range(epochs if terms else 0):
-        order = rng.permutation(n)
-        for low in range(0, n, batch):
-            rows = order[low : low + batch]
-            x = np.zeros((len(rows), terms))
-            for i, r in enumerate(rows):
-                x[i, x_rows[r]] = 1
-            xv = x @ v
-            z = bias + x @ w + 0.5 * ((xv**2).sum(axis=1) - x @ (v**2).sum(axis=1))
-            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows]) * np.where(y[rows] > 0, heavy, 1.0) / len(rows)
-            xg = x.T @ g
-            grads = [np.array([g.sum()]), xg + l2_linear * w, x.T @ (g[:, None] * xv) - v * xg[:, None] + l2_factors * v]
-            step += 1
-            now = rate * (1 - epoch / epochs)
-            for p, d, a, b in zip(params, grads, m, s, strict=True):
-                a += 0.1 * (d - a)
-                b += 0.001 * (d * d - b)
-                p -= now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-    return float(bias[0]), w, v
-
-
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: int = 12_000, max_terms: int = 2_000, min_docs: int = 5, chi2: float = 15.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
+        now = 1 - epoch / epochs
+        for k in rng.permutation(len(parts)):
+            some, heads, begin, at, cols = parts[k]
+            clock += now
+            have = energy[cols]
+            own = params[cols] * np.exp(-(clock - seen[cols])[:, None].astype(np.float32) * pull / (DAMP + np.sqrt(have)))
+            params[cols], seen[cols] = own, clock
+            margin, vx = margins(own, at, begin)
+            top = worst(margin, heads)
+            slope = (sigmoid(bias + margin[top]) - y[some]) * weight[some] / len(some)
+            lengths = np.diff(begin)[top]
+            edges = np.cumsum(np.r_[0, lengths])
+            inside = np.arange(edges[-1]) + np.repeat(begin[top] - edges[:-1], lengths)
+            hit, grad = gradient(own, at[inside], edges, vx[top], slope)
+            total = have[hit] + grad**2
+            energy[cols[hit]] = total
+            params[cols[hit]] = own[hit] - np.float32(now) * rates * grad / (DAMP + np.sqrt(total))
+            bias_energy += slope.sum() ** 2
+            bias -= now * 0.2 * slope.sum() / (DAMP + np.sqrt(bias_energy))
+    params *= np.exp(-(clock - seen)[:, None] * pull / (DAMP + np.sqrt(energy)))
+    return float(bias), params[:, 0].astype(float), params[:, 1:].astype(float)
+
+
+def calibrate(margin: np.ndarray, y: np.ndarray, bias: float) -> tuple[float, float]:
+    """(scale, bias) that make probabilities of margins that the machine wasn't fitted on.
+
+    Newton steps on the logistic loss; the rarer label counts more by the root of the labels' ratio. A penalty
+    holds the scale near 1, and without rows of both labels it is 1 and the bias as it was.
+    """
+    if not 0 < y.mean() < 1:
+        return 1.0, bias
+    scale, share = 1.0, y.mean()
+    weight = np.where(y > 0, np.sqrt((1 - share) / share), 1.0)
+    weight /= weight.mean()
+    for _ in range(100):
+        p = sigmoid(scale * margin + bias)
+        g, h = (p - y) * weight, p * (1 - p) * weight + 1e-9
+        pull = 1e-3 * len(y)
+        hess = np.array([[(h * margin**2).sum() + pull, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-3]])
+        step = np.linalg.solve(hess, [(g * margin).sum() + pull * (scale - 1), g.sum()])
+        step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        scale, bias = scale - step[0], bias - step[1]
+    return float(scale), float(bias)
+
+
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: int = 12_000, calibration: float = 0.15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Fit on at most ``fit_rows`` labelled rows that aren't ``held_out``, the first by a hash of their id.
 
-    Null labels and ids are left out, an id with several labels counts as the largest; without labelled
-    rows the machine gives 0.5 for every text.
+    All terms of those rows take part. The share ``calibration`` of them, the last by that hash, only sets scale and
+    bias. Null labels and ids are left out, an id with several labels counts as the largest, and every
+    row that repeats an id counts; null and empty texts are texts without a term. Without labelled rows (an empty table
+    on either side) the machine gives 0.5 for every text. Other columns are not read.
     """
     named = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL").groupBy("_id").agg(F.max("_y").alias("_y"))
     chosen = named.withColumnRenamed("_id", id_col).where(~held_out).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows).withColumnRenamed(id_col, "_id")
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(materialize(chosen)), "_id")  # fit_rows at most
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(materialize(chosen)), "_id")  # fit_rows at most
+    rows = rows.select(F.xxhash64("_id").alias("_order"), "_y", "_text")
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = texts(b.column("_text"))
-            doc, term = doc_terms(values)
-            cuts = np.searchsorted(doc, np.arange(len(values) + 1))
-            yield pa.RecordBatch.from_arrays([b.column("_y"), pa.array([term[cuts[i] : cuts[i + 1]].astype("<i4").tobytes() for i in range(len(values))], pa.binary())], ["y", "terms"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << BITS), np.int32)
-        for b in batches:
-            for y, data in zip(b.column("y").to_pylist(), b.column("terms").to_pylist(), strict=True):
-                total[int(y > 0), np.frombuffer(data, "<i4")] += 1
-        term = np.flatnonzero(total.sum(axis=0) >= 1)
-        yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(total[0][term].astype(np.int64)), pa.array(total[1][term].astype(np.int64))], ["term", "n0", "n1"])
-
-    sample = materialize(map_batches(rows, terms_of, "y int, terms binary"))
-    size = {bool(r["y"]): r["n"] for r in sample.groupBy((F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
-    n1, n0 = size.get(True, 0), size.get(False, 0)
-    if not n1 + n0:
-        return Machine(np.zeros(1 << BITS, np.int32), 0.0, np.zeros(0), np.zeros((0, 8)))
-    a, c = F.col("n1"), F.col("n0")
-    n = F.lit(float(n1 + n0))
-    df = a + c
-    stat = n * F.pow(a * F.lit(float(n0)) - c * F.lit(float(n1)), 2) / (df * (n - df) * F.lit(float(max(1, n1)) * max(1, n0)))
-    ranked = map_batches(sample.coalesce(4), count, "term int, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where((df >= min_docs) & (df < n)).withColumn("stat", stat)
-    kept = [r["term"] for r in ranked.where(F.col("stat") >= chi2).orderBy(F.desc("stat"), "term").limit(max_terms).collect()]
-    slots = np.zeros(1 << BITS, np.int32)
-    slots[kept] = np.arange(1, len(kept) + 1)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [slots[np.frombuffer(x, "<i4")] for x in b.column("terms").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([(x[x > 0] - 1).astype("<i4").tobytes() for x in out], pa.binary())], ["y", "places"])
-
-    data = sorted((r["places"], r["y"]) for r in map_batches(sample, place, "y int, places binary").collect())
-    bias, w, v = fit([np.frombuffer(x, "<i4") for x, _ in data], np.array([float(y > 0) for _, y in data]), len(kept))
-    return Machine(slots, bias, w, v)
+            owner, begin, term = passages(values)
+            data, sizes = term.astype("<i4"), np.diff(begin).astype("<i4")
+            cuts = np.searchsorted(owner, np.arange(len(values) + 1))
+            blobs = [data[begin[p] : begin[q]].tobytes() for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
+            counts = [sizes[p:q].tobytes() for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("_order"), b.column("_y"), pa.array(counts, pa.binary()), pa.array(blobs, pa.binary())], ["place", "y", "sizes", "terms"])
+
+    sample = materialize(map_batches(rows, terms_of, "place long, y int, sizes binary, terms binary"))
+    data = sorted((r["place"], r["terms"], r["sizes"], r["y"]) for r in sample.toLocalIterator())
+    if not data:
+        return Machine(np.zeros(1 << BITS, np.int32), np.zeros((0, 9)), 1.0, 0.0)
+    present = np.zeros(1 << BITS, bool)
+    for _, blob, _, _ in data:
+        present[np.frombuffer(blob, "<i4")] = True
+    slots = np.cumsum(present, dtype=np.int32) * present
+    x_rows, first, y = [], [], np.array([float(r[3] > 0) for r in data])
+    for k in range(len(data)):
+        _, blob, sizes, _ = data[k]
+        first.append(len(x_rows))
+        x_rows += np.split(slots[np.frombuffer(blob, "<i4")] - 1, np.cumsum(np.frombuffer(sizes, "<i4"))[:-1])
+        data[k] = None  # the copy stays
+    first = np.array(first)
+    cut = len(first) - int(calibration * len(first))
+    end = first[cut] if cut < len(first) else len(x_rows)
+    bias, w, v = fit(x_rows[:end], y[:cut], int(present.sum()), first=first[:cut])
+    params = np.concatenate([w[:, None], v], axis=1).astype(np.float32)
+    params[np.abs(params) < LEAST] = 0
+    if cut < len(first):
+        rest = x_rows[end:]
+        margin, _ = margins(params, np.concatenate(rest), np.cumsum([0, *map(len, rest)]))
+        scale, bias = calibrate(np.maximum.reduceat(margin, first[cut:] - end), y[cut:], bias)
+    else:
+        scale = 1.0
+    says = np.flatnonzero(np.any(params != 0, axis=1))
+    kept = np.zeros(1 << BITS, np.int32)
+    kept[np.flatnonzero(present)[says]] = np.arange(1, len(says) + 1)
+    return Machine(kept, params[says], scale, bias)
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and toxicity_score (0 to 1), from whole texts; null is empty."""
-    keep = list(docs.columns) if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most max_terms terms and one slot table
-    source = docs.select(*keep, F.col(text_col).alias("_text")) if text_col not in keep else docs.select(*keep)
-    name = "_text" if text_col not in keep else text_col
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", toxicity_score double"
+    """The columns ``keep`` (default: all) of every row of ``docs``, and toxicity_score (0 to 1), from whole texts.
+
+    Null and empty texts have the score of a text without a term, texts of any length that of their worst passage, and
+    rows that repeat a text the same score. A column of ``docs`` called toxicity_score is replaced.
+    An empty table gives no rows.
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "toxicity_score"]
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # a slot table, and the terms of fit_rows rows at most
+    source, fields = beside_text(docs, keep, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for b in batches:
-            values = texts(b.column(name))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(model.score(values))], [*keep, "toxicity_score"])
+            scores = pa.array(shared.value.score(texts(b.column(len(keep)))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], scores], [*keep, "toxicity_score"])
 
-    return map_batches(source, run, schema)
+    return map_batches(source, run, T.StructType([*fields, T.StructField("toxicity_score", T.DoubleType())]))
 
 
 def held_out_third(id_col: str = "doc_id") -> Column:
@@ -165,12 +293,16 @@ def held_out_third(id_col: str = "doc_id") -> Column:
 
 
 def reject(docs: DataFrame, machine: Machine, threshold: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns as they are."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns as they are.
+
+    Rows are judged one by one, by their text alone: null and empty texts as texts without a term, and rows that
+    repeat a text go or stay together. An empty table gives no rows, and a column may have any name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(shared.value.score(texts(b.column(at))) < threshold))
+            yield b.filter(pa.array(shared.value.score(texts(b.column(at))) < threshold, pa.bool_()))
 
     return map_batches(docs, run, docs.schema)

@@ -171,3 +171,10 @@ def test_several_passes_over_a_large_benchmark(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(decontamination, "INDEX_WORDS", 250)
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()} == {(i, i) for i, _ in items}
+
+
+def test_languages_of_tables_with_clashing_columns(spark, weird):
+    model = langid.train(spark.createDataFrame([r[:3] for r in corpus(60)], "doc_id long, text string, lang string"), F.lit(True))
+    odd = weird.withColumnRenamed("line", "lang_pred").withColumnRenamed("hub", "lang_score").withColumnRenamed("doc", "_source_text")
+    got = langid.predict(odd, model)
+    assert sorted(got.columns) == sorted(odd.columns) and dict(got.dtypes)["lang_score"] == "double" and got.count() == len(rows())
