@@ -305,4 +305,5 @@ def reject(docs: DataFrame, machine: Machine, threshold: float, text_col: str =
         for b in batches:
             yield b.filter(pa.array(shared.value.score(texts(b.column(at))) < threshold, pa.bool_()))
 
-    return map_batches(docs, run, docs.schema)
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return map_batches(numbered, run, numbered.schema).toDF(*docs.columns)
