@@ -229,3 +229,21 @@ def test_template_lines(spark, weird, nothing):
     assert len(odd) == len(rows())
     assert {r["n_removed"] for r in odd if r["doc_id"] in (3, 4, 5, 7)} == {0}
     assert templates.drop_template_lines(nothing).count() == 0
+
+
+def test_runs_merge_as_streams():
+    """Blocks in order of their first record, of runs that overlap, give the run of all records."""
+    rng = np.random.default_rng(3)
+    records = rng.integers(0, 40, (3000, exact.WORDS)).astype(np.uint64)
+    records[:, 1:6] = records[:, :1]
+    records[:, exact.ORDER], records[:, exact.ROW], records[:, exact.COUNT] = rng.integers(0, 9, 3000), np.arange(3000), 1
+    runs = [exact._sorted_run(records[k::7]) for k in range(7)]
+    blocks = sorted((exact.keys(r[k : k + 5], 6)[0], i, k) for i, r in enumerate(runs) for k in range(0, len(r), 5))
+    got = np.concatenate(list(exact.merge_stream(runs[i][k : k + 5] for _, i, k in blocks)))
+    want = {}
+    for r in records[np.lexsort((records[:, exact.ROW], records[:, exact.ORDER], records[:, 0]))].tolist():
+        if r[0] in want:
+            want[r[0]][exact.COUNT] += 1
+        else:
+            want[r[0]] = r
+    assert got.tolist() == list(want.values()) and np.array_equal(exact.merge(runs), got)
