@@ -42,3 +42,41 @@ def test_target_model_counts_every_good_document(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries.resampling, "resample", lambda docs, target, k: seen.extend(target))
     queries.op1_importance_resampling(spark, str(tmp_path))
     assert len(seen) == 3 and sorted(r["doc_id"] for t in seen for r in t.collect()) == list(range(20_020))
+
+
+def test_a_question_alone_is_no_leak_at_any_length(spark):
+    rng = random.Random(21)
+    for n in (20, 80, 240, 1000):
+        question, answer = words(rng, n * 3 // 4) + "?", words(rng, n // 4) + "."
+        bench = spark.createDataFrame([(1, f"{question} {answer}")] + [(k, words(rng, 30)) for k in range(2, 9)], "item_id long, text string")
+        docs = spark.createDataFrame([(0, f"{words(rng, 50)} {question} {words(rng, 400)}"), (1, f"{words(rng, 77)} {question} {answer} {words(rng, 300)}"), (2, answer)], "doc_id long, text string")
+        assert [(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()] == [(1, 1)]
+
+
+def test_passes_over_the_benchmark_change_nothing(spark, monkeypatch):
+    """Passages that share most words with items, but not all: scores and hits are those of one index."""
+    rng = random.Random(22)
+    vocabulary = [words(rng, 1) for _ in range(50)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(8, 120)))) for i in range(50)]
+    docs = []
+    for i in range(60):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        docs.append((i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 60)) + w)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted((r["doc_id"], r["item_id"], round(r["score"], 9), r["question_overlap"], r["answer_overlap"]) for r in decontamination.leaks(df, bench, overlap=0.3).collect())
+    one = found()
+    monkeypatch.setattr(decontamination, "INDEX_WORDS", 250)
+    assert len(one) > 20 and any(r[2] < 0.99 for r in one) and found() == one
+
+
+def test_bounds_are_kept_in_parts(monkeypatch):
+    rng = random.Random(23)
+    vocabulary = [words(rng, 1) for _ in range(40)]
+    index = decontamination.Index([(i, " ".join(rng.choices(vocabulary, k=rng.randint(3, 60)))) for i in range(80)], 5)
+    hashes, at = decontamination.word_hashes([" ".join(rng.choices(vocabulary, k=30)) for _ in range(40)])
+    owner = [i for i in range(40) for _ in range(at[i + 1] - at[i])]
+    whole = index.bounds(decontamination.np.array(owner), index.lookup(hashes), 40)
+    monkeypatch.setattr(decontamination, "SUMMED", 7)
+    assert decontamination.np.allclose(whole, index.bounds(decontamination.np.array(owner), index.lookup(hashes), 40))
