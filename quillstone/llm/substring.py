@@ -4,7 +4,9 @@ Only positions whose remainder modulo PERIOD is in the difference cover are hash
 words. For two equal windows of WINDOW words there is a shift below PERIOD that takes both starts to cover
 positions, so the windows share an anchor at the same place, whatever their alignment. Anchors that occur
 once in the corpus are let go; the others are extended to the whole windows around them, which are
-compared as windows: the earliest start of each word sequence stays, the words under all others go.
+compared as windows: the earliest start of each word sequence stays, the words under all others go. Word
+sequences are equal if the 128-bit BLAKE2b digests of the words themselves are; the 64-bit hashes of
+anchors only choose what is looked at.
 
 Documents are read once into chunks, in a table bucketed by chunk. What executors exchange are sorted
 arrays, one for each chunk and range of hashes. A hash that repeats within a chunk is sent once, so a
@@ -35,7 +37,9 @@ ANCHOR = WINDOW - PERIOD + 1
 CHUNK_CHARS = 1 << 21
 #: Stands for a null identifier, which is later than any other.
 NO_ID = (1 << 63) - 1
-CHUNK = "chunk long, ids binary, sizes binary, data binary"
+CHUNK = "chunk long, chars long, ids binary, sizes binary, data binary"
+#: Bytes of one bucket's entries, on average: buckets are as many as the counted characters need.
+BUCKET_BYTES = 32 << 20
 ENTRIES = "bucket int, chunk long, ids binary, id_at binary, hashes binary, places binary"
 MARKS = "chunk long, places binary"
 
@@ -66,7 +70,7 @@ def _chunks(chunk_chars: int):
             held.sort(key=lambda x: x[0])
             data = [t.encode() for _, t in held]
             packed = zstandard.ZstdCompressor(level=1).compress(b"".join(data))
-            out = pa.RecordBatch.from_arrays([pa.array([part << 32 | made]), pa.array([np.array([i for i, _ in held], "<i8").tobytes()]), pa.array([np.array([len(x) for x in data], "<i8").tobytes()]), pa.array([packed])], ["chunk", "ids", "sizes", "data"])
+            out = pa.RecordBatch.from_arrays([pa.array([part << 32 | made]), pa.array([sum(len(t) for _, t in held)]), pa.array([np.array([i for i, _ in held], "<i8").tobytes()]), pa.array([np.array([len(x) for x in data], "<i8").tobytes()]), pa.array([packed])], ["chunk", "chars", "ids", "sizes", "data"])
             held.clear()
             return out
 
@@ -113,6 +117,16 @@ class Chunk:
         at = np.flatnonzero(fits)
         return at, self.words.of(at, at + ANCHOR)
 
+    def digests(self, start: np.ndarray) -> np.ndarray:
+        """128-bit digests (two words) of the windows at ``start``, from the words themselves with one space between."""
+        words = [t.split() for t in self.texts]  # bytes: splits at the six ASCII white spaces
+        ends = np.cumsum([len(w) + 1 for own in words for w in own], dtype=np.int64)
+        whole = memoryview(b" ".join(w for own in words for w in own))
+        begin = np.r_[0, ends[:-1]][start].tolist() if len(start) else []
+        last = (ends[start + WINDOW - 1] - 1).tolist() if len(start) else []
+        found = b"".join(hashlib.blake2b(whole[a:z], digest_size=16).digest() for a, z in zip(begin, last, strict=True))
+        return np.frombuffer(found, "<u8").reshape(-1, 2)
+
     def windows(self, anchors: np.ndarray) -> np.ndarray:
         """Starts of the windows that hold one of these anchors at a shift below PERIOD."""
         near = covered(np.maximum(anchors - PERIOD + 1, 0), anchors + 1, self.n)
@@ -121,13 +135,15 @@ class Chunk:
 
 def _entries(chunk: int, ids: np.ndarray | None, hashes: np.ndarray, places: np.ndarray, buckets: int, keep: int) -> pa.RecordBatch:
     """Rows by bucket of (hash, place), places ascending; ``ids`` of the entries' documents if they matter."""
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    hashes = hashes.astype("<u8").reshape(len(hashes), hashes.shape[1] if hashes.ndim > 1 else 1)
+    data = hashes.view(np.uint8)
+    bucket = ((hashes[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     rows = []
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         some = order[cuts[b] : cuts[b + 1]]
-        low = np.ascontiguousarray(hashes[some].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :keep]).tobytes()
+        low = np.ascontiguousarray(data[some, :keep]).tobytes()
         own, at = (b"", b"") if ids is None else _runs(ids[some])
         rows.append((b, chunk, own, at, low, pack_places(places[some])))
     types = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
@@ -147,6 +163,7 @@ def _hashes(data: bytes, keep: int) -> np.ndarray:
 
 #: Bytes kept of an anchor's hash beside its bucket: a chance match only costs a comparison of windows.
 ANCHOR_BYTES = 5
+DIGEST_BYTES = 16
 
 
 def _send_anchors(buckets: int):
@@ -197,12 +214,13 @@ def _send_windows(buckets: int):
                 spread = np.zeros(len(counts), bool)
                 spread[inverse[shared]] = True
                 start = chunk.windows(at[spread[inverse]])
-                found = chunk.words.of(start, start + WINDOW)
-                first = np.sort(np.unique(found, return_index=True)[1])
+                found = chunk.digests(start)
+                order = np.lexsort((np.arange(len(start)), found[:, 1], found[:, 0]))
+                first = np.sort(order[np.r_[True, (found[order[1:]] != found[order[:-1]]).any(axis=1)]]) if len(order) else order
                 again = np.ones(len(start), bool)
                 again[first] = False
                 ids = chunk.ids[np.searchsorted(chunk.begin, start[first], "right") - 1]
-                yield _entries(name, ids, found[first], start[first], buckets, 8)
+                yield _entries(name, ids, found[first], start[first], buckets, DIGEST_BYTES)
                 if again.any():  # goes along, to be marked whatever the others say
                     yield pa.RecordBatch.from_arrays([pa.array([name % buckets], pa.int32()), pa.array([name], pa.int64()), pa.array([b""]), pa.array([b""]), pa.array([b""]), pa.array([pack_places(start[again])])], ["bucket", "chunk", "ids", "id_at", "hashes", "places"])
 
@@ -216,18 +234,18 @@ def _later(group: pa.Table) -> pa.Table:
         if not data:
             out.append((chunk, places))
             continue
-        hashes, at = _hashes(data, 8), unpack_places(places)
+        hashes, at = np.frombuffer(data, "<u8").reshape(-1, 2), unpack_places(places)
         runs = np.diff(np.r_[unpack_places(id_at), len(at)])
         sent.append((hashes, np.repeat(np.frombuffer(ids, "<i8"), runs), np.full(len(at), chunk), at))
     if sent:
         hashes, ids, chunks, at = (np.concatenate(x) for x in zip(*sent, strict=True))
-        order = np.argsort(hashes, kind="stable")
+        order = np.lexsort((hashes[:, 1], hashes[:, 0]))
         ranked = hashes[order]
-        same = ranked[1:] == ranked[:-1]
+        same = (ranked[1:] == ranked[:-1]).all(axis=1)
         order = order[np.r_[same, False] | np.r_[False, same]]
-        order = order[np.lexsort((at[order], chunks[order], ids[order], hashes[order]))]
+        order = order[np.lexsort((at[order], chunks[order], ids[order], hashes[order, 1], hashes[order, 0]))]
         ranked = hashes[order]
-        later = order[np.r_[False, ranked[1:] == ranked[:-1]]] if len(order) else order
+        later = order[np.r_[False, (ranked[1:] == ranked[:-1]).all(axis=1)]] if len(order) else order
         later = later[np.lexsort((at[later], chunks[later]))]
         chunks, at = chunks[later], at[later]
         edges = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1], True]) if len(later) else [0]
@@ -273,14 +291,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     name = "chunks_" + path[-32:]
     # bucketed, so that the two joins below move the marks alone
     map_batches(source, _chunks(chunk_chars), CHUNK).write.bucketBy(n, "chunk").option("path", path).format("parquet").saveAsTable(name)
-    chunks = spark.table(name)
-
-    def with_marks(marks: DataFrame) -> DataFrame:
-        own = marks.repartition(n, "chunk").groupBy("chunk").agg(F.collect_list("places").alias("marks"))
-        return chunks.join(own.hint("shuffle_hash"), "chunk", "left")
-
-    anchors = materialize(map_batches(chunks.select("chunk", "ids", "sizes", "data"), _send_anchors(n), ENTRIES).groupBy("bucket").applyInArrow(_repeated, MARKS))
-    windows = materialize(map_batches(with_marks(anchors), _send_windows(n), ENTRIES).groupBy("bucket").applyInArrow(_later, MARKS))
-    out = map_batches(with_marks(windows), _finish(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("doc_id", id_col)
-    spark.sql(f"DROP TABLE {name}")  # the catalogue's entry; the files are external, and what was planned reads them
-    return out
+    try:
+        chunks = spark.table(name)
+        # entries of words of six characters on average, an anchor at each cover position; windows are fewer, but for a corpus of copies
+        entries = (chunks.agg(F.sum("chars")).first()[0] or 0) // 6 * (len(COVER) / PERIOD)
+        buckets = max(n, -(-int(entries * (DIGEST_BYTES + 8)) // BUCKET_BYTES))
+
+        def with_marks(marks: DataFrame) -> DataFrame:
+            own = marks.repartition(n, "chunk").groupBy("chunk").agg(F.collect_list("places").alias("marks"))
+            return chunks.join(own.hint("shuffle_hash"), "chunk", "left")
+
+        anchors = materialize(map_batches(chunks.select("chunk", "ids", "sizes", "data"), _send_anchors(buckets), ENTRIES).groupBy("bucket").applyInArrow(_repeated, MARKS))
+        windows = materialize(map_batches(with_marks(anchors), _send_windows(buckets), ENTRIES).groupBy("bucket").applyInArrow(_later, MARKS))
+        return map_batches(with_marks(windows), _finish(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("doc_id", id_col)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # the catalogue's entry; the files are external, and what was planned reads them

@@ -247,3 +247,24 @@ def test_runs_merge_as_streams():
         else:
             want[r[0]] = r
     assert got.tolist() == list(want.values()) and np.array_equal(exact.merge(runs), got)
+
+
+def test_windows_of_equal_hashes_and_other_words_stay(monkeypatch):
+    """With every 64-bit hash the same, words are still told apart: nothing goes but true repeats."""
+    from quillstone.llm import textvec
+
+    rng = random.Random(31)
+    passage = words(rng, 30)
+    docs = [(i, words(rng, 40) + (" " + passage if i % 3 == 0 else "")) for i in range(12)]
+    chunk = substring.Chunk(np.array([1], "<i8").tobytes(), np.array([len(docs[0][1])], "<i8").tobytes(), substring.zstandard.ZstdCompressor().compress(docs[0][1].encode()))
+    monkeypatch.setattr(textvec.Hasher, "of", lambda self, begin, end: np.full(len(begin), 7, np.uint64))
+    assert len(np.unique(chunk.digests(np.arange(20)), axis=0)) == 20
+    entries = []
+    for k, own in enumerate((docs[::2], docs[1::2])):
+        made = next(substring._chunks(1 << 20)(iter([substring.pa.RecordBatch.from_arrays([substring.pa.array([i for i, _ in own]), substring.pa.array([t for _, t in own])], ["doc_id", "text"])])))
+        cols = {n: made.column(n) for n in ("ids", "sizes", "data")}
+        batch = substring.pa.RecordBatch.from_arrays([substring.pa.array([k]), *cols.values(), substring.pa.array([[]], substring.pa.list_(substring.pa.binary()))], ["chunk", *cols, "marks"])
+        entries += [b for b in substring._send_windows(1)(iter([batch])) if b.num_rows]
+    later = substring._later(substring.pa.Table.from_batches(entries))
+    n = sum(len(substring.unpack_places(x)) for x in later.column("places").to_pylist())
+    assert n == 3 * 11  # the passage's windows of 20 words, in all documents but the first
