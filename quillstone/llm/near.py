@@ -4,7 +4,8 @@ The k-mers of a text are its windows of five lower-case words, each labelled wit
 occurrence. Each of SKETCHES hash functions picks the PICKED k-mers with the smallest values and keeps them
 in text order; the hash of that sequence is one sketch. Texts with an equal sketch are a candidate pair;
 a pair is a link if the banded alignment of its k-mer sequences has at least ``similarity`` of their
-union in common.
+union in common. A text of at most SHORT k-mers has keys beside its sketches, of all its k-mers and of all but
+each one, so that none of its similar texts as short is missed.
 
 Texts with the same words are one node. In a bucket (the nodes with an equal sketch) no pairs are made:
 each node is compared with a hub, the member that sits in the largest buckets, and linked nodes become
@@ -29,6 +30,8 @@ from .runtime import join_groups, map_batches, materialize, mix64, sized_join, t
 
 WORDS = 5
 SKETCHES, PICKED = 16, 4
+#: Up to so many k-mers, texts at least 0.8 similar differ by at most one k-mer, at one end of the pair.
+SHORT = 8
 #: Members compared with one hub in one task.
 CHUNK = 256
 _SEEDS = mix64(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64))
@@ -70,6 +73,17 @@ def sketch(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
+def short_keys(kmers: np.ndarray) -> np.ndarray:
+    """Hashes of a short text's k-mers in order, of all and of all but each one."""
+    n = len(kmers)
+    if not 0 < n <= SHORT:
+        return np.empty(0, np.uint64)
+    out = np.full(n + 1, 0x2545F4914F6CDD1D, np.uint64)
+    for k in range(n):
+        out = np.where(np.arange(n + 1) == k, out, mix64(out + kmers[k]))
+    return np.unique(out)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
     """Share of the union of two labelled k-mer sequences that their alignment has in common.
 
@@ -128,7 +142,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kmers = _kmers(words)
                 digests.append(digest)
                 counts.append(len(kmers))
-                rows.append(sketch(kmers).view(np.int64) if len(kmers) else np.empty(0, np.int64))
+                rows.append(np.concatenate([sketch(kmers), short_keys(kmers)]).view(np.int64) if len(kmers) else np.empty(0, np.int64))
         ends = np.cumsum([0, *(len(r) for r in rows)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64)))
         yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), b.column("text_key"), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), lists], ["row_id", "doc_id", "text_key", "digest", "kmers", "sketches"])
@@ -178,10 +192,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(ident.alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     rows = materialize(map_batches(keyed.withColumn("row_id", F.monotonically_increasing_id()), _sketch_rows, SKETCHED))
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id", "text_key", "kmers", "sketches")
-    nodes = materialize(
-        rows.groupBy("digest").agg(F.min(first).alias("f"), F.count("*").alias("copies")).select("digest", "copies", F.col("f.row_id").alias("node"), F.col("f.doc_id").alias("doc_id"), F.col("f.text_key").alias("text_key"), F.col("f.kmers").alias("kmers"), F.col("f.sketches").alias("sketches"))
-    )
+    # the identifiers alone are aggregated; the chosen rows' sketches are joined to them
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
+    chosen = rows.groupBy("digest").agg(F.min(first).alias("f"), F.count("*").alias("copies")).select(F.col("f.row_id").alias("row_id"), "copies")
+    nodes = materialize(rows.join(chosen, "row_id").withColumnRenamed("row_id", "node"))
     links = _link(keyed, nodes, similarity)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
@@ -211,7 +225,7 @@ def _link(keyed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     total = nodes.count()
     member = nodes.select("node", "kmers", F.explode("sketches").alias("sketch")).distinct()
     sizes = materialize(member.groupBy("sketch").agg(F.count("*").alias("size")).where("size > 1"))
-    inside = materialize(join_groups(member, sizes, ["sketch"], "size", SKETCHES * max(1, total)).where("size IS NOT NULL"))
+    inside = materialize(join_groups(member, sizes, ["sketch"], "size", (SKETCHES + SHORT + 1) * max(1, total)).where("size IS NOT NULL"))
     n_inside = inside.count()
     if not n_inside:
         return keyed.sparkSession.createDataFrame([], "a long, b long, similarity double")
@@ -253,8 +267,8 @@ def _compare_blocks(active: DataFrame, found: DataFrame, similarity: float) -> D
     outside = F.col("root") != F.col("main")
     left = dealt.where(outside).select("sketch", "node", "root", F.lit(True).alias("query"), F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r"))
     # only blocks that hold a member outside the main component ask
-    asking = dealt.where(outside).groupBy("sketch").agg(F.collect_set("block").alias("asking"))
-    right = dealt.join(asking, "sketch").select("sketch", "node", "root", F.lit(False).alias("query"), F.explode("asking").alias("q"), F.col("block").alias("r"))
+    asking = materialize(dealt.where(outside).groupBy("sketch").agg(F.max("own").alias("own"), F.collect_set("block").alias("asking")))
+    right = join_groups(dealt.drop("own"), asking, ["sketch"], "own", max(1, dealt.count())).where("asking IS NOT NULL").select("sketch", "node", "root", F.lit(False).alias("query"), F.explode("asking").alias("q"), F.col("block").alias("r"))
     rows = left.unionByName(right).join(found, "node")
     return materialize(rows.groupBy("sketch", "q", "r").applyInArrow(_block_links(similarity), "a long, b long, similarity double"))
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_batches, materialize, partitions, texts
+from .runtime import map_batches, materialize, texts
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 OPEN = ", token_ids binary, leftover boolean"
@@ -197,20 +197,21 @@ def _bare(rows: _Rows, schema: pa.Schema) -> pa.RecordBatch:
     return rows.batch(schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, open_windows: int = 64, end_id: int = 0, keep_ids: bool = True, leftovers_per_task: int = 16) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, open_windows: int = 64, end_id: int = 0, keep_ids: bool = True, leftover_ids: int = 1 << 22) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, token_ids.
 
     A document's ids are those of its whole text plus ``end_id``; a null text is empty and gives
     ``end_id`` alone. Each row is a document of its own, also if it repeats another or its identifier
     is null. An empty table gives no rows; other columns are not read. ``keep_ids``
-    leaves out the ids (little-endian unsigned 32-bit) if false: a layout with checksums only.
+    leaves out the ids (little-endian unsigned 32-bit) if false: a layout with checksums only. What is left open
+    is counted and dealt to tasks of about ``leftover_ids`` ids, each of which ends in a few windows below ``size``.
     """
     done = PIECE + OPEN
     first = materialize(map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), _pack_partition(tokenizer, size, open_windows, end_id, keep_ids), done))
-    tasks = max(1, partitions(docs.sparkSession) // leftovers_per_task)
+    tasks = max(1, -(-(first.where("leftover").agg(F.sum("length")).first()[0] or 0) // leftover_ids))
     left = (
         first.where("leftover")
-        .withColumn("_task", F.shiftrightunsigned("sequence_id", 36) % F.lit(tasks))
+        .withColumn("_task", F.pmod(F.xxhash64("sequence_id"), F.lit(tasks)))
         .repartition(tasks, "_task")
         .sortWithinPartitions("sequence_id", "offset")
         .select("doc_id", "start", "doc_tokens", "token_ids")

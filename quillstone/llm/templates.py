@@ -8,12 +8,20 @@ template. Templates that recur across documents, and are constant for the most p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import BROADCAST_ROWS, join_groups, materialize, sized_join
 
 FIELD = "<*>"
+LEAF = ["tokens", "path"]
+#: A row of strings, or of a digest and an array, takes as much of a broadcast as so many ids.
+WIDE = 4
+
+
+def _digest(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text))
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
@@ -26,29 +34,32 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
         .select("doc", "place", masked.alias("masked"))
         .withColumn("tokens", count)
         .where(F.col("tokens") >= min_tokens)
-        .withColumn("leaf", F.xxhash64("tokens", F.substring_index("masked", " ", depth)))
+        .withColumn("path", F.substring_index("masked", " ", depth))
     )
 
 
 def template_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_tokens: int = 3, constant: float = 0.5) -> DataFrame:
-    """(doc, place) of the lines of (doc, text) whose template recurs in at least ``min_docs`` documents."""
+    """(doc, place) of the lines of (doc, text) whose template recurs in at least ``min_docs`` documents.
+
+    Leaves and tokens are compared as they are; lines, templates and documents by 128-bit digests.
+    """
     lines = _lines(docs, depth, min_tokens)
-    leaves = materialize(lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
-    n_leaves = leaves.count()
-    inside = materialize(sized_join(lines, leaves, ["leaf"], "inner", n_leaves).withColumn("line", F.xxhash64("leaf", "masked")))
+    leaves = materialize(lines.select(*LEAF, "doc").distinct().groupBy(*LEAF).agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select(*LEAF))
+    inside = materialize(sized_join(lines, leaves, LEAF, "inner", WIDE * leaves.count()).withColumn("line", _digest(F.col("masked"))))
     # equal lines once, with their number; only leaves with different lines need the tokens by place
-    distinct = materialize(inside.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("masked").alias("masked"), F.first("tokens").alias("tokens"), F.count("*").alias("n")))
-    tokens = distinct.select("line", "leaf", "n", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    distinct = materialize(inside.groupBy("line").agg(F.first("path").alias("path"), F.first("masked").alias("masked"), F.first("tokens").alias("tokens"), F.count("*").alias("n")))
+    tokens = distinct.select("line", *LEAF, "n", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     path = tokens.where(F.col("at") < depth).select("line", "at", "token")
-    deep = tokens.where(F.col("at") >= depth).withColumn("key", F.xxhash64("leaf", "at", "token"))
-    places = materialize(deep.groupBy("key").agg(F.sum("n").alias("lines"), F.count("*").alias("size")))
+    deep = tokens.where(F.col("at") >= depth)
+    places = materialize(deep.groupBy(*LEAF, "at", "token").agg(F.sum("n").alias("lines"), F.count("*").alias("size")))
     frequent = places.where(F.col("lines") >= min_docs)
     total = max(1, places.agg(F.sum("size")).first()[0] or 0)
-    fixed = join_groups(deep.select("line", "at", "token", "key"), frequent, ["key"], "size", total).select("line", "at", F.when(F.col("size").isNotNull(), F.col("token")).otherwise(FIELD).alias("token"))
+    fixed = join_groups(deep.select("line", *LEAF, "at", "token"), frequent, [*LEAF, "at", "token"], "size", total).select("line", "at", F.when(F.col("size").isNotNull(), F.col("token")).otherwise(FIELD).alias("token"))
     part = F.struct("at", "token")
     whole = path.unionByName(fixed).groupBy("line").agg(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["token"]).alias("parts"))
     share = F.size(F.filter("parts", lambda x: x != FIELD)) / F.size("parts")
-    named = whole.where(share >= constant).select("line", F.xxhash64("parts").alias("template")).join(distinct.select("line", "n"), "line")
+    # tokens have no space, so a template's tokens with spaces between are that template's alone
+    named = whole.where(share >= constant).select("line", _digest(F.array_join("parts", " ")).alias("template")).join(distinct.select("line", "n"), "line")
     named = materialize(named)
     held = materialize(join_groups(inside.select("doc", "place", "line"), named, ["line"], "n", max(1, inside.count())).where("template IS NOT NULL").select("doc", "place", "template"))
     recurring = materialize(held.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("size")).where(F.col("size") >= min_docs))
@@ -63,11 +74,11 @@ def drop_template_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min
     which is blank. No rows give no rows; other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = docs.select(F.col(id_col).alias("ident"), F.xxhash64(id_col, text).alias("doc"), text.alias("text"))
+    source = docs.select(F.col(id_col).alias("ident"), _digest(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\0"), text)).alias("doc"), text.alias("text"))
     found = template_lines(source, min_docs, depth, min_tokens, constant)
     marks = materialize(found.distinct().groupBy("doc").agg(F.collect_list("place").alias("places")))
-    size = marks.agg(F.count("*") + F.sum(F.size("places"))).first()[0] or 0
-    out = sized_join(source, marks, ["doc"], "left", min(size, BROADCAST_ROWS + 1))
-    lines = F.split("text", "\n")
-    kept = F.when(F.col("places").isNull(), lines).otherwise(F.filter(lines, lambda x, i: ~F.array_contains("places", i)))
-    return out.select(F.col("ident").alias(id_col), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), F.array_join(kept, "\n").alias("kept_text"))
+    size = marks.agg(F.count("*") * WIDE + F.sum(F.size("places")) / 2).first()[0] or 0
+    out = sized_join(source, marks, ["doc"], "left", min(int(size), BROADCAST_ROWS + 1)).withColumn("lines", F.split("text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "places")
+    kept = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    return out.select(F.col("ident").alias(id_col), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text"))

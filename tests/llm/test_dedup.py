@@ -268,3 +268,15 @@ def test_windows_of_equal_hashes_and_other_words_stay(monkeypatch):
     later = substring._later(substring.pa.Table.from_batches(entries))
     n = sum(len(substring.unpack_places(x)) for x in later.column("places").to_pylist())
     assert n == 3 * 11  # the passage's windows of 20 words, in all documents but the first
+
+
+def test_short_texts_always_meet_their_near_copies():
+    """Texts of up to SHORT k-mers that are 0.8 similar share a key, whichever k-mer is the other one's alone."""
+    rng = np.random.default_rng(5)
+    for n in range(4, near.SHORT):
+        long = near.label(rng.integers(0, 1 << 60, n + 1).astype(np.uint64))
+        for k in range(n + 1):
+            short = np.delete(long, k)
+            assert near.aligned(long, short, 0.8) >= 0.8 - 1e-12
+            assert set(near.short_keys(long).tolist()) & set(near.short_keys(short).tolist())
+    assert len(near.short_keys(long[:0])) == 0 == len(near.short_keys(np.arange(9).astype(np.uint64)))
