@@ -31,7 +31,7 @@ from .runtime import map_batches, materialize, sized_join, texts, word_windows
 K1, B = 1.2, 0.75
 BLOCK = 4
 #: Words of the shortest class of items.
-SHORTEST = 16
+SHORTEST = 64
 #: Words of test items in one index, which all executors get (about 50 bytes a word); more items are searched in
 #: further passes.
 INDEX_WORDS = 500_000
