@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ship
-from .functions.canonical import claim_address, content, document_address, merkle_roots, normalize_text
+from .functions.canonical import claim_address, content, document_address, merkle_roots, normalize_text, with_address
 from .functions.files import new_id, resolve_branch, write_if_changed
 from .functions.render import index_text
 from .model import CONFIDENCES, DEFAULT_BRANCH, KINDS, STATUS_RANK, Weights
@@ -148,6 +148,14 @@ class Engine:
     def verify(self, root: str, branch: str | None = None) -> DataFrame:
         return listing.verify(self.pool(branch).where("status = 'active'"), root)
 
+    def standing(self, root: str, branch: str | None = None) -> str:
+        """Whether a pool with ``root`` is in sync with the log, behind it by so many claims, or ahead or diverged."""
+        return listing.verdict(self.verify(root, branch))
+
+    def unseen(self, pack: str, branch: str | None = None) -> DataFrame:
+        """Live claims of a branch that a pack's text doesn't show."""
+        return listing.unseen(self.claims, pack, branch or self.branch)
+
     def refine(self, threshold: float = 0.5) -> DataFrame:
         return listing.refine(views.visible(self.claims), threshold)
 
@@ -192,10 +200,10 @@ class Engine:
 
     def find_one(self, prefix: str) -> str:
         """The id of the only record that ``prefix`` names."""
-        found = self.get(prefix).select("id").limit(2).collect()
+        found = [r["id"] for r in self.get(prefix).select("id").collect()]  # 20 at most
         if len(found) != 1:
-            raise ValueError(f"{prefix!r} names {'no' if not found else 'more than one'} claim")
-        return found[0]["id"]
+            raise ValueError(f"{prefix!r} names {'several claims: ' + ', '.join(found) if found else 'no claim'}")
+        return found[0]
 
     def transition(self, claim: str, to: str, reason: str | None = None, src: str = "api") -> dict:
         if to not in STATUS_RANK:
@@ -223,6 +231,52 @@ class Engine:
         self._append({"rec": "doc", "branch": branch, "name": made["name"], "title": made["title"], "body": normalize_text(body), "cid": document_address(normalize_text(body)), "src": src})
         return {"outcome": "saved", "cid": made["cid"]}
 
+    def merge(self, source: str, target: str) -> int:
+        """Record copies of the source's active claims on the target, each with a reference to its original; those merged
+        before, and kinds that the target refuses, are left out. The number of copies."""
+        at = dt.datetime.now(dt.timezone.utc)
+        rows = mutations.merge_branch(self.claims, source, target, self.branches.holds_table(self.spark))
+        return self._write_claims(rows, at, "merge")
+
+    def rename_project(self, old: str, new: str) -> int:
+        """Carry a project's live claims and current documents over to another name, with their supersession, and archive the originals.
+
+        The new name must not be in use. The number of claims that were carried.
+        """
+        if not old or not new or "/" in new or any(b.split("/")[0] == new for b in self.names()):
+            raise ValueError(f"{new!r} is in use, or no name")
+        at = dt.datetime.now(dt.timezone.utc)
+        stamp = F.lit(at)
+        place = F.abs(F.xxhash64("id", F.lit(new))) % F.lit(10**16)
+        n = self._write_claims(mutations.rename_project(self.claims, old, new, mutations.time_id(stamp, place)), at, "rename")
+        docs = self.docs.where(F.split("branch", "/")[0] == old)
+        moved = docs.select(F.lit("doc").alias("rec"), mutations.time_id(stamp, place).alias("id"), F.concat(F.lit(f"{new}/"), F.element_at(F.split("branch", "/"), -1)).alias("branch"), "name", "title", "body", "cid", F.lit("rename").alias("src"), stamp.alias("t_tx"))
+        gone = mutations.remove_project(self.claims, views.visible_docs(self.records.docs, self.records.statuses), old, stamp)
+        log.write(moved, self.home, self.machine, "t_tx")
+        log.write(gone, self.home, self.machine, "t_tx")
+        self.refresh()
+        return n
+
+    def archive_branch(self, branch: str) -> int:
+        """Archive the live claims of a branch; its documents and definition stay. The number of claims."""
+        rows = mutations.archive_branch(self.claims, branch, F.lit(dt.datetime.now(dt.timezone.utc)))
+        n = rows.count()
+        log.write(rows, self.home, self.machine, "t_tx")
+        self.refresh()
+        return n
+
+    def _write_claims(self, rows: DataFrame, at: dt.datetime, src: str) -> int:
+        """Append claims that a mutation made (column ``origin``: what they were made of), addressed anew."""
+        stamp = F.lit(at)
+        place = F.abs(F.xxhash64("origin", F.lit(src))) % F.lit(10**16)
+        made = with_address(rows if src == "rename" else rows.withColumn("id", mutations.time_id(stamp, place)))
+        out = made.select(F.lit("claim").alias("rec"), "id", "cid", "kind", "branch", "text", "why", "refs", "entities", "supersedes" if src == "rename" else F.lit(None).cast("string").alias("supersedes"), "status", "confidence", F.lit(src).alias("src"), "t_valid", stamp.alias("t_tx"))
+        n = out.count()
+        log.write(out, self.home, self.machine, "t_tx")
+        if src != "rename":
+            self.refresh()
+        return n
+
     def remove(self, branch: str) -> tuple[int, int]:
         """Archive all live claims and document versions of a branch: nothing is erased."""
         docs = views.visible_docs(self.records.docs, self.records.statuses)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blake3 import blake3
 from ..functions.canonical import ADDRESS_PREFIX, RUN, climb, merkle_root, placed_leaves
-from ..functions.text import jaccard, label_of, project, words_of
+from ..functions.text import jaccard, label_of, project, short_tag, words_of
 
 
 def ideas(summary: DataFrame, docs: DataFrame, defined: DataFrame) -> DataFrame:
@@ -92,10 +92,17 @@ def refine(claims: DataFrame, threshold: float = 0.5, most: int = 30) -> DataFra
 def verify(pool: DataFrame, root: str, back: int = 500) -> DataFrame:
     """(behind, root): how many of the newest claims must be left out for the pool to have ``root``; none if it never had.
 
+    0 is in sync, more is behind by so many, and no row is ahead or diverged (``verdict`` says it in words). ``root`` may be
+    the beginning of a root, in either case and with white space around it; an empty one is an error. An empty pool
+    has the root of no claim; claims without an address are left out, and repeated rows count once in a tree.
+
     Looks at most ``back`` records back, which is the feature. Without its newest claims the pool's tree keeps
     the order of its leaves, so run j of each state lies within RUN + ``back`` leaves from place j * RUN of the
     whole: a task takes those, whatever the size of the pool, and gives the run's subtree in all states.
     """
+    root = root.strip().lower()
+    if not root.removeprefix(ADDRESS_PREFIX):
+        raise ValueError("no root to verify")
     spark = pool.sparkSession
     pool = pool.select("id", "cid").where("cid IS NOT NULL").persist()  # read four times
     newest = pool.orderBy(F.desc("id"), F.desc("cid")).limit(back).collect()
@@ -120,6 +127,22 @@ def verify(pool: DataFrame, root: str, back: int = 500) -> DataFrame:
     return roots.where(F.col("root").startswith(root)).orderBy("behind").limit(1)
 
 
+def verdict(found: DataFrame) -> str:
+    """What ``verify`` found: in sync, behind n, or ahead or diverged."""
+    row = found.first()
+    return "ahead or diverged" if row is None else "in sync" if row["behind"] == 0 else f"behind {row['behind']}"
+
+
+def unseen(claims: DataFrame, pack: str, branch: str) -> DataFrame:
+    """The live claims of a branch that a pack's text doesn't name: its short tag isn't in it. Oldest first.
+
+    A null address is never named; an empty pack names nothing; repeated rows stay repeated.
+    """
+    tag = F.concat(F.lit("[c:"), short_tag("cid"), F.lit("]"))
+    live = claims.where((F.col("branch") == branch) & F.col("status").isin("active", "superseded"))
+    return live.where(~F.coalesce(F.contains(F.lit(pack), tag), F.lit(False))).orderBy("id")
+
+
 def _run_nodes(removed: np.ndarray, states: int, size: int):
     """The subtree of a run in every state: removed are the (place, state it is gone in) of leaves that go."""
 

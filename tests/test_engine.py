@@ -65,3 +65,31 @@ def test_files():
     a = files.new_id(1.5)
     b = files.new_id(1.0, a)
     assert a < b and len(b) == 26 and files.decode_id(b) == files.decode_id(a) + 1
+
+
+def test_whole_branches_move(engine):
+    """Merging, renaming and archiving write what they say, and again nothing."""
+    e = engine
+    first = e.save("decision", "Notes are plain text", branch="notes/research")
+    second = e.save("decision", "Notes are Markdown", branch="notes/research", supersedes=first["id"])
+    e.save("fact", "Students take notes", branch="notes/research")
+    e.save_doc("spec", "# Plan\n\nBuild it.", branch="notes/research")
+    pack = e.pack("notes/research", "markdown", 600).first()["markdown"]
+    assert all((r["cid"][3:7] in pack) == (r["id"] not in {u["id"] for u in e.unseen(pack).collect()}) for r in e.scan(branch="notes/research").collect()) and {r["id"] for r in e.unseen("", "notes/research").collect()} >= {second["id"]}
+    root = e.state_root().first()["root"]
+    assert e.standing(f" {root.upper()}\n") == "in sync" and e.standing("b3:0123") == "ahead or diverged"
+    with pytest.raises(ValueError):
+        e.standing("  ")
+    # the code branch holds decisions and constraints alone, and the superseded one isn't active
+    assert e.merge("notes/research", "notes/code") == 1 and e.merge("notes/research", "notes/code") == 0
+    copy = e.scan(branch="notes/code").first()
+    assert copy["text"] == "Notes are Markdown" and copy["refs"] == ["merged:" + second["id"]]
+    with pytest.raises(ValueError):
+        e.rename_project("notes", "notes")
+    assert e.rename_project("notes", "memo") == 4
+    assert {r["text"]: r["status"] for r in e.scan(branch="memo/research").collect()} == {"Notes are plain text": "superseded", "Notes are Markdown": "active", "Students take notes": "active"}
+    assert {r["status"] for r in e.scan(branch="notes/research").collect()} == {"archived"}
+    assert [(r["branch"], r["name"], r["title"]) for r in e.docs.collect()] == [("memo/research", "spec", "Plan")]
+    chained = e.scan(branch="memo/research").where("supersedes IS NOT NULL").collect()
+    assert len(chained) == 1 and e.get(chained[0]["supersedes"]).first()["text"] == "Notes are plain text"
+    assert e.archive_branch("memo/code") == 1 and e.archive_branch("memo/code") == 0
