@@ -8,6 +8,7 @@ tokens of their own, so no token spans a turn's border.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -67,6 +68,7 @@ def intersect(spans: list[tuple[int, int]], offsets: np.ndarray) -> tuple[np.nda
 
 
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import AddedToken, Tokenizer
 
     found = Tokenizer.from_file(path)

@@ -27,9 +27,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; where that is unset (tests), under an own temp folder."""
+    """A fresh folder under spark.checkpoint.dir; where that is unset, under an own temp folder in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quillstone-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
