@@ -102,19 +102,21 @@ def keyword_search(claims: DataFrame, query: str, limit: int = 20) -> DataFrame:
 def neighbors(claims: DataFrame, seeds: DataFrame, limit: int, passing: Column | None = None) -> DataFrame:
     """Claims one hop from ``seeds`` (ids): along supersession first, then by shared tags and files.
 
-    ``passing`` filters the second pass only. (id, hop, shared), in order.
+    ``passing`` filters the second pass only. (id, hop, shared), in order. Seeds may be any number of rows, repeated or
+    null: their joins are by size, and only the MAX_TERMS tags are broadcast. Null lists have no tags; an empty
+    table on either side gives no rows.
     """
     at = seeds.select("id").distinct()
     edges = claims.where("supersedes IS NOT NULL").select(F.col("id").alias("src"), F.col("supersedes").alias("dst"))
-    forward = edges.join(F.broadcast(at), edges.src == at.id).select(F.col("dst").alias("id"))
-    back = edges.join(F.broadcast(at), edges.dst == at.id).select(F.col("src").alias("id"))
+    forward = edges.join(at, edges.src == at.id).select(F.col("dst").alias("id"))
+    back = edges.join(at, edges.dst == at.id).select(F.col("src").alias("id"))
     history = forward.union(back).distinct().withColumns({"hop": F.lit(0), "shared": F.lit(0).cast("long")})
     marks = F.array_distinct(F.transform(F.array_union(F.coalesce("entities", F.array().cast("array<string>")), F.coalesce("refs", F.array().cast("array<string>"))), F.lower))
-    tags = claims.join(F.broadcast(at), "id", "left_semi").select("id", F.explode(marks).alias("tag")).where(F.length("tag") > 1)
+    tags = claims.join(at, "id", "left_semi").select("id", F.explode(marks).alias("tag")).where(F.length("tag") > 1)
     tags = tags.groupBy("tag").agg(F.min("id").alias("first")).orderBy("first", "tag").limit(MAX_TERMS).select("tag")
     pool = claims if passing is None else claims.where(passing)
     tagged = pool.select("id", F.explode(marks).alias("tag")).join(F.broadcast(tags), "tag").groupBy("id").agg(F.count("*").alias("shared")).withColumn("hop", F.lit(1)).select("id", "hop", "shared")
-    both = history.unionByName(tagged).join(F.broadcast(at), "id", "left_anti")
+    both = history.unionByName(tagged).join(at, "id", "left_anti")
     best = both.groupBy("id").agg(F.min(F.struct("hop", F.negative("shared").alias("s"))).alias("b"), F.max("shared").alias("shared"))
     return best.select("id", F.col("b.hop").alias("hop"), "shared").orderBy("hop", F.desc("shared"), F.desc("id")).limit(limit)
 

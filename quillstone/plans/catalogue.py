@@ -87,6 +87,12 @@ def q_scalar_names(a: Adapted) -> DataFrame:
     return a.raw.select("id", text.slug(F.left("text", F.lit(60))).alias("slug"), text.first_line("text").alias("first_line"), text.lane("branch").alias("lane"), text.project("branch").alias("project"), text.short_tag("cid").alias("tag"))
 
 
+@query(r"SELECT id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM claims_raw")
+def q_slug(a: Adapted) -> DataFrame:
+    """The slug of whole texts."""
+    return a.raw.select("id", text.slug("text").alias("slug"))
+
+
 @query()
 def q_cid_blake3(a: Adapted) -> DataFrame:
     return canonical.with_address(a.raw).select("id", "cid")
@@ -320,6 +326,12 @@ def q_neighbors(a: Adapted) -> DataFrame:
     return index.neighbors(a.raw, seeds, 50)
 
 
+@query(_NEIGHBORS.replace(_SEEDS, "SELECT id FROM claims_raw WHERE doc_id % 20 = 0"))
+def q_neighbors_many(a: Adapted) -> DataFrame:
+    """Seeds: every row whose number is divisible by 20."""
+    return index.neighbors(a.raw, a.raw.where("doc_id % 20 = 0").select("id"), 50)
+
+
 @query()
 def q_task_relevance(a: Adapted) -> DataFrame:
     seen = pool(a.kept, BRANCHES.pool_table(a.spark, ["en/code"]))

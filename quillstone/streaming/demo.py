@@ -18,8 +18,12 @@ MACHINES = {"claim": "'m0'", "status": "src", "counter": "machine", "doc": "'m0'
 
 
 def shared_home(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors see; where that is unset (tests), a temp folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quillstone-")
+    """A fresh folder under spark.checkpoint.dir, which all executors see; where that is unset, a temp folder in local mode and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="quillstone-")
     return f"{base.rstrip('/')}/home-{uuid.uuid4().hex}"
 
 
