@@ -192,25 +192,30 @@ def fit(x_rows: list[np.ndarray], y: np.ndarray, terms: int, factors: int = 8, e
     return float(bias), params[:, 0].astype(float), params[:, 1:].astype(float)
 
 
+#: Rows that the scale and bias of the fit count for in calibration.
+PRIOR = 4.0
+
+
 def calibrate(margin: np.ndarray, y: np.ndarray, bias: float) -> tuple[float, float]:
     """(scale, bias) that make probabilities of margins that the machine wasn't fitted on.
 
     Newton steps on the logistic loss; the rarer label counts more by the root of the labels' ratio. A penalty
-    holds the scale near 1, and without rows of both labels it is 1 and the bias as it was.
+    worth PRIOR rows, and a thousandth of all, holds the scale near 1 and the bias near what it was, so few rows
+    change little; the scale is 0 or more. Without rows of both labels both are as they were.
     """
     if not 0 < y.mean() < 1:
         return 1.0, bias
-    scale, share = 1.0, y.mean()
+    scale, start, share = 1.0, bias, y.mean()
     weight = np.where(y > 0, np.sqrt((1 - share) / share), 1.0)
     weight /= weight.mean()
     for _ in range(100):
         p = sigmoid(scale * margin + bias)
         g, h = (p - y) * weight, p * (1 - p) * weight + 1e-9
-        pull = 1e-3 * len(y)
-        hess = np.array([[(h * margin**2).sum() + pull, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-3]])
-        step = np.linalg.solve(hess, [(g * margin).sum() + pull * (scale - 1), g.sum()])
+        pull = PRIOR + 1e-3 * len(y)
+        hess = np.array([[(h * margin**2).sum() + pull, (h * margin).sum()], [(h * margin).sum(), h.sum() + PRIOR]])
+        step = np.linalg.solve(hess, [(g * margin).sum() + pull * (scale - 1), g.sum() + PRIOR * (bias - start)])
         step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
-        scale, bias = scale - step[0], bias - step[1]
+        scale, bias = max(scale - step[0], 0.0), bias - step[1]
     return float(scale), float(bias)
 
 
