@@ -171,8 +171,8 @@ def _resolve(keys: DataFrame, keep: str, leaves: int, fan_in: int, flush: int) -
     buckets = max(partitions(spark), -(-rows * 8 * WORDS // BUCKET_BYTES))
     leaves = min(leaves, (last or 0) + 1)
     runs, distance = map_batches(keys, _leaf_runs(buckets, leaves, flush), RUN), 1
-    while distance < leaves:
-        # run i + distance * j meets run i
+    while distance == 1 or distance < leaves:
+        # run i + distance * j meets run i; the first round also merges the runs of one leaf, so it is never left out
         distance *= fan_in
         met = runs.withColumn("run", F.col("run") - F.col("run") % distance)
         runs = map_batches(met.repartition(partitions(spark), "bucket", "run").sortWithinPartitions("bucket", "run", "head"), _merge_runs, RUN)
@@ -199,15 +199,16 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     are repeated rows. An empty table gives no rows, and texts may have any length.
     """
     found = exact_duplicates(docs, id_col, text_col, keep)
-    gone = materialize(found.where(~F.col("kept")).select(F.col(id_col).alias("__quill_id"), F.col("text_sha256").alias("__quill_digest"), (F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("__quill_self")))
-    lost = gone.where(~F.col("__quill_self")).select("__quill_id", "__quill_digest").distinct()
-    again = gone.where("__quill_self").select("__quill_id", "__quill_digest").distinct()
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    n_lost, n_again = gone.where(~F.col("__quill_self")).count(), gone.where("__quill_self").count()
-    marked = docs.withColumn("__quill_digest", digest).withColumn("__quill_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
-    fill = lambda df: df.withColumn("__quill_id", F.coalesce("__quill_id", F.lit(LAST)))
-    out = sized_join(marked, fill(lost), ["__quill_id", "__quill_digest"], "left_anti", n_lost)
-    if n_again:  # rows repeated whole: one of each stays
-        twice = sized_join(out, fill(again), ["__quill_id", "__quill_digest"], "left_semi", n_again).dropDuplicates(["__quill_id", "__quill_digest"])
-        out = sized_join(out, fill(again), ["__quill_id", "__quill_digest"], "left_anti", n_again).unionByName(twice)
-    return out.drop("__quill_id", "__quill_digest")
+    gone = materialize(found.where(~F.col("kept")).select(F.col(id_col).alias("ident"), F.col("text_sha256").alias("digest"), (F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("again")))
+    filled = F.coalesce("ident", F.lit(LAST)).alias("ident")
+    lost, twice = (materialize(gone.where(which).select(filled, "digest").distinct()) for which in (~F.col("again"), F.col("again")))
+    n_lost, n_twice = lost.count(), twice.count()
+    # the input's columns by number, so that no name can clash with these two
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    ident, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    marked = numbered.select("*", F.coalesce(ident.cast("long"), F.lit(LAST)).alias("ident"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"))
+    out = sized_join(marked, lost, ["ident", "digest"], "left_anti", n_lost)
+    if n_twice:  # rows repeated whole: one of each stays
+        one = sized_join(out, twice, ["ident", "digest"], "left_semi", n_twice).dropDuplicates(["ident", "digest"])
+        out = sized_join(out, twice, ["ident", "digest"], "left_anti", n_twice).unionByName(one)
+    return out.select(*numbered.columns).toDF(*docs.columns)
