@@ -41,7 +41,7 @@ WITH lines AS (
   SELECT *, string_split(masked, ' ') AS tokens FROM masked
 ), pathed AS (
   SELECT *, len(tokens) AS n_tokens, array_to_string(tokens[1:3], ' ') AS path
-  FROM split WHERE trim(line, ' ') <> '' AND len(tokens) >= 3
+  FROM split WHERE trim(line, ' ') <> ''
 ), inside AS (
   SELECT p.* FROM pathed p JOIN (
     SELECT n_tokens, path FROM pathed GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from quillstone.llm import exact, graph, near, substring, templates
 from quillstone.llm.decontamination import word_hashes
@@ -26,6 +27,27 @@ def test_exact_against_groups(spark, weird):
         assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
 
 
+@pytest.mark.parametrize("parts", [1, 2, 9])
+def test_exact_over_any_partitions(spark, parts):
+    """Runs of several flushes are merged however many partitions they come from."""
+    rng = random.Random(parts)
+    docs = [(i, f"text {rng.randrange(20)}") for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).repartition(parts)
+    sizes = collections.Counter(t for _, t in docs)
+    last = {t: i for i, t in docs}
+    for leaves in (1, 256):
+        got = exact.exact_duplicates(df, keep="largest", leaves=leaves, flush=4).collect()
+        assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(i, last[t], sizes[t]) for i, t in docs}
+        assert sum(r["kept"] for r in got) == len(sizes)
+
+
+def test_exact_drop_hands_on_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a", 5, "d"), (2, "a", 6, "e"), (2, "a", 7, "f"), (3, "b", 8, "g")], "doc_id long, text string, ident int, digest string")
+    got = exact.drop_exact_duplicates(df, keep="largest")
+    assert got.columns == df.columns
+    assert [(r["doc_id"], r["text"]) for r in got.orderBy("doc_id").collect()] == [(2, "a"), (3, "b")]
+
+
 def test_exact_drop_keeps_one_row_of_each_text(spark, weird, nothing):
     got = exact.drop_exact_duplicates(weird, keep="largest")
     assert got.columns == weird.columns
@@ -214,7 +236,7 @@ def test_difference_cover_has_every_shift():
     assert {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER} == set(range(substring.PERIOD))
 
 
-def test_template_lines(spark, weird, nothing):
+def test_template_lines(spark, weird, nothing, monkeypatch):
     rng = random.Random(2)
     docs = []
     for i in range(30):
@@ -223,8 +245,11 @@ def test_template_lines(spark, weird, nothing):
     df = spark.createDataFrame([(i, t, "en", "s", 0, *PAD) for i, t in docs], weird.schema)
     got = {r["doc_id"]: r for r in templates.drop_template_lines(df, min_docs=10).collect()}
     for i, t in docs:
-        assert got[i]["n_lines"] == 4 and got[i]["n_removed"] == 1
-        assert got[i]["kept_text"] == "\n".join(t.split("\n")[1:])
+        assert got[i]["n_lines"] == 4 and got[i]["n_removed"] == 2
+        assert got[i]["kept_text"] == "\n".join(t.split("\n")[1:3])
+    split = templates.drop_template_lines(df, min_docs=10)
+    monkeypatch.setattr(templates, "BROADCAST_ROWS", 0)  # leaves are joined by size
+    assert sorted(map(tuple, templates.drop_template_lines(df, min_docs=10).collect())) == sorted(map(tuple, split.collect()))
     odd = templates.drop_template_lines(weird, min_docs=2).collect()
     assert len(odd) == len(rows())
     assert {r["n_removed"] for r in odd if r["doc_id"] in (3, 4, 5, 7)} == {0}
