@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact, langid, near, packing, resampling, substring, templates, toxicity
+from . import chat, decontamination, exact, langid, licences, near, packing, repair, resampling, substring, templates, toxicity
 from .runtime import BROADCAST_ROWS, materialize, table
 
 
@@ -75,4 +75,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out_third().alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_order_minhash, op3_decontamination, op4_line_templates, op5_exact_dedup, op6_chat_format, op7_language_id, op8_substring_dedup, op9_packing, op10_toxicity)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations all of whose rows are dropped have zeros, an empty audit and the digest of nothing."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ids = rows.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    found = repair.repair_report(repair.damage(rows))
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    out = ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    return out.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digest(licences.scan(table(spark, sf_dir, "documents")))
+
+
+FUNCTIONS = (op1_importance_resampling, op2_order_minhash, op3_decontamination, op4_line_templates, op5_exact_dedup, op6_chat_format, op7_language_id, op8_substring_dedup, op9_packing, op10_toxicity, op11_conversation_repair, op12_license_scan)
+QUERIES = {f.__name__: f for f in FUNCTIONS}
