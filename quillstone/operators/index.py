@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MAX_TERMS, plain_words, query_terms, stem, stems
+from ..model import lookup
 
 #: Weight of each field in the score.
 FIELD_WEIGHTS = {"text": 1.0, "why": 0.5, "entities": 2.0, "refs": 1.5}
@@ -37,13 +39,83 @@ def postings(table: DataFrame) -> DataFrame:
     return rows.groupBy("token", "field", "id", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(table: DataFrame, terms: list[str], stemmed: bool = True, fields: tuple[str, ...] = FIELDS, exact: bool = False) -> DataFrame:
+def row_postings(table: DataFrame) -> DataFrame:
+    """(token, field, id, tf, length) as ``postings`` of a table with unique ids, counted within each row: nothing is shuffled."""
+
+    # each step's array is a column of an exploded row, so that it is reckoned once and not for each element
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.sort_array(f).alias("words")) for f in FIELDS])
+    rows = table.select("id", "length", F.explode(parts).alias("p")).select("id", "length", "p.field", F.col("p.words").alias("words")).where(F.size("words") > 0)
+    n = F.size("words")
+    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1)))
+    runs = rows.select("id", "length", "field", "words", F.explode(F.array(begins)).alias("begins"))
+    ends = F.concat(F.slice("begins", F.lit(2), F.size("begins")), F.array(n))
+    rows = runs.select("id", "length", "field", F.explode(F.zip_with("begins", ends, lambda b, e: F.struct(F.get("words", b).alias("token"), (e - b).cast("long").alias("tf")))).alias("r"))
+    return rows.select("r.token", "field", "id", "r.tf", "length")
+
+
+#: Folders of the postings: a token's folder is told by its first letter, so a prefix has one too.
+SHARDS = 64
+POSTING = "token string, field string, id string, tf long, length long, shard int"
+
+
+def shard_of(token: Column) -> Column:
+    return F.pmod(F.ascii(token), F.lit(SHARDS)).cast("int")
+
+
+@dataclass(frozen=True)
+class StoredIndex:
+    """A written index: postings by folder, in ranges of tokens, and one row of statistics (n, average)."""
+
+    spark: SparkSession
+    folder: str
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema(POSTING).parquet(f"{self.folder}/postings")
+
+    @property
+    def statistics(self) -> DataFrame:
+        return self.spark.read.schema("n double, average double").parquet(f"{self.folder}/statistics")
+
+
+def write_index(table: DataFrame, folder: str) -> StoredIndex:
+    """Write the postings of a token table (unique ids) in order of token and id, and its statistics; what was there before is replaced.
+
+    Ranges are by token and then id, so a token that most claims have is spread over several files. Without claims there are no
+    postings, and the statistics count none.
+    """
+    found = row_postings(table).withColumn("shard", shard_of(F.col("token")))
+    order = ("shard", "token", "id")
+    found.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/postings")
+    table.where("length > 0").agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average")).write.mode("overwrite").parquet(f"{folder}/statistics")
+    return StoredIndex(table.sparkSession, folder)
+
+
+def _terms_of(terms: list[str], stemmed: bool) -> list[str]:
+    return list(dict.fromkeys(stem(t) for t in terms) if stemmed else dict.fromkeys(terms))
+
+
+def _scored(rows: DataFrame, totals: DataFrame, n_terms: int) -> DataFrame:
+    """(id, matched, score) of rows (id, length, wtf array) with a hit, under one row of statistics (n, average, df array)."""
+    found = rows.where(F.exists("wtf", lambda x: x > 0)).crossJoin(F.broadcast(totals))  # one row
+    score = F.lit(0.0)
+    for k in range(n_terms):
+        wtf, df = F.col("wtf")[k], F.col("df")[k]
+        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+        score = score + F.when(wtf > 0, idf * wtf * (K1 + 1) / (wtf + K1 * (1 - B + B * F.col("length") / F.col("average")))).otherwise(0.0)
+    return found.select("id", F.size(F.filter("wtf", lambda x: x > 0)).cast("long").alias("matched"), score.alias("score"))
+
+
+def bm25(table: DataFrame | StoredIndex, terms: list[str], stemmed: bool = True, fields: tuple[str, ...] = FIELDS, exact: bool = False) -> DataFrame:
     """(id, matched, score) of the claims with any of the terms; terms are prefixes unless ``exact``.
 
-    ``table`` is a token table, and the statistics are over all of it. Term frequencies are expressions on
-    a row, so nothing is shuffled; the statistics are one row.
+    ``table`` is a token table, read whole, or a stored index, of which only the ranges of the terms are read. The statistics are
+    over all of it, one row. Term frequencies of a token table are expressions on a row, so nothing is shuffled; of an
+    index the matching postings are summed by claim. Without terms, or in an empty table, nothing is found.
     """
-    terms = list(dict.fromkeys(stem(t) for t in terms) if stemmed else dict.fromkeys(terms))
+    terms = _terms_of(terms, stemmed)
+    if isinstance(table, StoredIndex):
+        return _bm25_stored(table, terms, fields, exact)
     if not terms:
         return table.select("id", F.lit(0).cast("long").alias("matched"), F.lit(0.0).alias("score")).limit(0)
     hit = lambda t: (lambda w: w == t) if exact else (lambda w: w.startswith(t))
@@ -51,13 +123,24 @@ def bm25(table: DataFrame, terms: list[str], stemmed: bool = True, fields: tuple
     rows = table.select("id", "length", F.array(*weighted).alias("wtf"))
     frequencies = [F.count_if(F.col("wtf")[k] > 0).cast("double") for k in range(len(terms))]
     totals = rows.where("length > 0").agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average"), F.array(*frequencies).alias("df"))
-    found = rows.where(F.exists("wtf", lambda x: x > 0)).crossJoin(F.broadcast(totals))  # one row
-    score = F.lit(0.0)
-    for k in range(len(terms)):
-        wtf, df = F.col("wtf")[k], F.col("df")[k]
-        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        score = score + F.when(wtf > 0, idf * wtf * (K1 + 1) / (wtf + K1 * (1 - B + B * F.col("length") / F.col("average")))).otherwise(0.0)
-    return found.select("id", F.size(F.filter("wtf", lambda x: x > 0)).cast("long").alias("matched"), score.alias("score"))
+    return _scored(rows, totals, len(terms))
+
+
+def _bm25_stored(index: StoredIndex, terms: list[str], fields: tuple[str, ...], exact: bool) -> DataFrame:
+    token, weight = F.col("token"), lookup(FIELD_WEIGHTS, "field", 0.0)
+    if not terms:
+        return index.postings.select("id", F.lit(0).cast("long").alias("matched"), F.lit(0.0).alias("score")).limit(0)
+    hits = [token == t if exact else token.startswith(t) for t in terms]
+    wanted = F.lit(False)
+    for t, hit in zip(terms, hits, strict=True):
+        wanted = wanted | ((F.col("shard") == ord(t[0]) % SHARDS) & hit)
+    read = index.postings.where(wanted)
+    read = read if set(fields) == set(FIELDS) else read.where(F.col("field").isin(*fields))
+    sums = [F.sum(F.when(hit, weight * F.col("tf")).otherwise(0.0)) for hit in hits]
+    rows = read.groupBy("id").agg(F.first("length").alias("length"), F.array(*sums).alias("wtf"))
+    # lengths are never null: the condition keeps the two uses of ``rows`` alike, so that its shuffle is used again
+    frequencies = rows.where("length IS NOT NULL").agg(F.array(*[F.coalesce(F.count_if(F.col("wtf")[k] > 0), F.lit(0)).cast("double") for k in range(len(terms))]).alias("df"))
+    return _scored(rows, index.statistics.crossJoin(F.broadcast(frequencies)), len(terms))  # one row each
 
 
 def ranked(rows: DataFrame, order: list[Column], depth: int, name: str = "rank") -> DataFrame:
@@ -74,11 +157,11 @@ def fuse(lists: list[DataFrame], limit: int) -> DataFrame:
     return ranked(scores, [F.desc(F.round("score", 12)), F.desc("id")], limit)
 
 
-def search(index: DataFrame, claims: DataFrame, query: str, limit: int = 50, stemmed: bool = True) -> DataFrame:
+def search(index: DataFrame | StoredIndex, claims: DataFrame, query: str, limit: int = 50, stemmed: bool = True) -> DataFrame:
     """Claims for a free-text query, best first (column ``rank``).
 
     Two passes, claims with every term and claims with any, are fused by rank. ``claims`` holds those that
-    pass the caller's filter; statistics are of the whole token table.
+    pass the caller's filter; statistics are of the whole token table or stored index.
     """
     terms = query_terms(query)
     depth = max(4 * limit, 50)
@@ -121,7 +204,7 @@ def neighbors(claims: DataFrame, seeds: DataFrame, limit: int, passing: Column |
     return best.select("id", F.col("b.hop").alias("hop"), "shared").orderBy("hop", F.desc("shared"), F.desc("id")).limit(limit)
 
 
-def task_relevance(index: DataFrame, claims: DataFrame, pool: DataFrame, task: str, stemmed: bool = True) -> DataFrame:
+def task_relevance(index: DataFrame | StoredIndex, claims: DataFrame, pool: DataFrame, task: str, stemmed: bool = True) -> DataFrame:
     """(id, relevance) of each claim in the pool for a task: hits halve every HALVES ranks, neighbours of the best
     hits come after the hits, all others have the floor."""
     ids = pool.select("id").distinct()

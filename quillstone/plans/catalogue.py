@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical, text
 from ..operators import index, listing, mutations, packer, views, weights
 from ..operators.branches import find_docs, holds_violations, pool
+from ..sources.shared import fresh_folder
 from .adapter import ADAPTER_SQL, BRANCHES, Adapted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,15 +83,9 @@ def q_token_estimate(a: Adapted) -> DataFrame:
     return a.raw.select("id", text.estimate("text").alias("tokens"))
 
 
-@query(r"SELECT id, trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '-') AS slug, string_split(text, chr(10))[1] AS first_line, string_split(branch, '/')[-1] AS lane, string_split(branch, '/')[1] AS project, substr(cid, 4, 4) AS tag FROM claims_raw")
+@query(r"SELECT id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug, string_split(text, chr(10))[1] AS first_line, string_split(branch, '/')[-1] AS lane, string_split(branch, '/')[1] AS project, substr(cid, 4, 4) AS tag FROM claims_raw")
 def q_scalar_names(a: Adapted) -> DataFrame:
-    return a.raw.select("id", text.slug(F.left("text", F.lit(60))).alias("slug"), text.first_line("text").alias("first_line"), text.lane("branch").alias("lane"), text.project("branch").alias("project"), text.short_tag("cid").alias("tag"))
-
-
-@query(r"SELECT id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM claims_raw")
-def q_slug(a: Adapted) -> DataFrame:
-    """The slug of whole texts."""
-    return a.raw.select("id", text.slug("text").alias("slug"))
+    return a.raw.select("id", text.slug("text").alias("slug"), text.first_line("text").alias("first_line"), text.lane("branch").alias("lane"), text.project("branch").alias("project"), text.short_tag("cid").alias("tag"))
 
 
 @query()
@@ -295,6 +290,20 @@ def q_search_hybrid(a: Adapted) -> DataFrame:
     return found.select("id", F.round("score", 12).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(_BM25 + " SELECT id, matched, round(score, 9) AS score FROM scored")
+def q_search_stored(a: Adapted) -> DataFrame:
+    """The index is written first; the search then reads the ranges of its words."""
+    stored = index.write_index(index.token_table(a.claims, stemmed=False), fresh_folder(a.spark, "index"))
+    return index.bm25(stored, _TERMS, stemmed=False).select("id", "matched", F.round("score", 9).alias("score"))
+
+
+@query(_HYBRID + " SELECT id, round(score, 12) AS score, row_number() OVER (ORDER BY round(score, 12) DESC, id DESC) AS rank FROM fused QUALIFY rank <= 20")
+def q_search_stored_hybrid(a: Adapted) -> DataFrame:
+    stored = index.write_index(index.token_table(a.claims, stemmed=False), fresh_folder(a.spark, "index"))
+    found = index.search(stored, views.visible(a.claims).select("id", "kind", "branch"), WORDS, LIMIT, stemmed=False)
+    return found.select("id", F.round("score", 12).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def q_search_stemmed(a: Adapted) -> DataFrame:
     return index.search(index.token_table(a.kept).persist(), views.visible(a.kept).select("id", "kind", "branch"), "running things and nations", LIMIT)
@@ -305,7 +314,7 @@ def q_search_worker(a: Adapted) -> DataFrame:
     return index.keyword_search(a.claims.where(F.col("status").isin("active", "superseded")), WORDS, LIMIT).select("id", F.col("matched").cast("long").alias("matched"))
 
 
-_SEEDS = "SELECT id FROM claims_raw WHERE doc_id IN (4, 11, 22, 40)"
+_SEEDS = "SELECT id FROM claims_raw WHERE doc_id % 20 = 0"
 _NEIGHBORS = f""", seeds AS ({_SEEDS}),
 history AS (
   SELECT supersedes AS id FROM claims_raw WHERE supersedes IS NOT NULL AND id IN (SELECT id FROM seeds)
@@ -322,12 +331,6 @@ SELECT id, CAST(min(hop) AS INTEGER) AS hop, CAST(max(shared) AS BIGINT) AS shar
 
 @query(_NEIGHBORS)
 def q_neighbors(a: Adapted) -> DataFrame:
-    seeds = a.raw.where(F.col("doc_id").isin(4, 11, 22, 40)).select("id")
-    return index.neighbors(a.raw, seeds, 50)
-
-
-@query(_NEIGHBORS.replace(_SEEDS, "SELECT id FROM claims_raw WHERE doc_id % 20 = 0"))
-def q_neighbors_many(a: Adapted) -> DataFrame:
     """Seeds: every row whose number is divisible by 20."""
     return index.neighbors(a.raw, a.raw.where("doc_id % 20 = 0").select("id"), 50)
 

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import document_addresses, with_address
 from ..sources import log
+from ..sources.shared import fresh_folder
 from .source import catch_up, local_path, read_tables
 
 #: Whose shard a record goes to; claims and documents of the tables have no machine.
@@ -18,13 +17,8 @@ MACHINES = {"claim": "'m0'", "status": "src", "counter": "machine", "doc": "'m0'
 
 
 def shared_home(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors see; where that is unset, a temp folder in local mode and an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="quillstone-")
-    return f"{base.rstrip('/')}/home-{uuid.uuid4().hex}"
+    """A fresh folder that all executors see."""
+    return fresh_folder(spark, "home")
 
 
 def records(adapted) -> dict[str, DataFrame]:
