@@ -17,13 +17,20 @@ from .model import CONFIDENCES, DEFAULT_BRANCH, KINDS, STATUS_RANK, Weights
 from .operators import index, listing, mutations, packer, views
 from .operators.branches import Branches, find_docs, pool
 from .sources import config, log
+from .streaming.kept import KeptView
 
 
 class Engine:
-    """``home`` holds log/, branches.yaml and weights.yaml; ``machine`` names this writer's shards."""
+    """``home`` holds log/, branches.yaml and weights.yaml; ``machine`` names this writer's shards.
 
-    def __init__(self, spark: SparkSession, home: str, machine: str = "local", branch: str | None = None):
+    With a folder ``view`` the engine keeps its view there: a read takes the records that are new since the last one. Without, it
+    reads the log as a whole after each write.
+    """
+
+    def __init__(self, spark: SparkSession, home: str, machine: str = "local", branch: str | None = None, view: str | None = None):
         ship(spark)
+        self.kept = KeptView(spark, home, view) if view else None
+        self._fresh = False
         self.spark, self.home, self.machine = spark, home, machine
         self.branches = Branches(config.load_branches(os.path.join(home, "branches.yaml")))
         self.weights: Weights = config.load_weights(os.path.join(home, "weights.yaml"))
@@ -37,25 +44,33 @@ class Engine:
         """Forget the views: the next use reads the log again."""
         for name in ("records", "claims", "docs", "tokens"):
             self.__dict__.pop(name, None)
+        self._fresh = False
         return self
 
     @cached_property
     def records(self) -> log.Records:
-        return log.read(self.spark, self.home)
+        return self._caught_up().records() if self.kept else log.read(self.spark, self.home)
+
+    def _caught_up(self) -> KeptView:
+        """The kept view, brought up to date once after each write."""
+        if not self._fresh:
+            self.kept.catch_up()
+            self._fresh = True
+        return self.kept
 
     @cached_property
     def claims(self) -> DataFrame:
+        if self.kept:
+            return self._caught_up().claims()
         r = self.records
         counters = views.unique_records(r.counters)
-        inline = r.claims.select(F.col("id").alias("claim"), "helpful", "harmful")
-        maps = "map<string,bigint>"
-        parts = [inline.select("claim", F.explode(F.from_json(c, maps)).alias("machine", "n"), F.lit(c).alias("which")) for c in ("helpful", "harmful")]
-        own = parts[0].unionByName(parts[1]).groupBy("claim", "machine").agg(*[F.max(F.when(F.col("which") == c, F.col("n"))).alias(c) for c in ("helpful", "harmful")])
-        both = counters.select("id", "claim", "machine", F.col("helpful").cast("long").alias("helpful"), F.col("harmful").cast("long").alias("harmful")).unionByName(own.withColumn("id", F.lit("")))
+        both = counters.select("id", "claim", "machine", F.col("helpful").cast("long").alias("helpful"), F.col("harmful").cast("long").alias("harmful")).unionByName(views.inline_counters(r.claims))
         return views.hydrate(views.unique_records(r.claims), views.unique_records(r.statuses), both)
 
     @cached_property
     def docs(self) -> DataFrame:
+        if self.kept:
+            return self._caught_up().docs()
         return views.current_docs(views.unique_records(self.records.docs), views.unique_records(self.records.statuses))
 
     @cached_property

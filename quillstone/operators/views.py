@@ -42,6 +42,13 @@ def counter_totals(counters: DataFrame) -> DataFrame:
     return counter_state(counters).groupBy("claim").agg(F.sum("helpful").alias("helpful"), F.sum("harmful").alias("harmful"))
 
 
+def inline_counters(claims: DataFrame) -> DataFrame:
+    """The counts that claims carry themselves (maps of machine to count, as JSON) as counter records without id."""
+    parts = [claims.select(F.col("id").alias("claim"), F.explode(F.from_json(c, "map<string,bigint>")).alias("machine", "n"), F.lit(c).alias("which")) for c in ("helpful", "harmful")]
+    most = [F.max(F.when(F.col("which") == c, F.col("n"))).alias(c) for c in ("helpful", "harmful")]
+    return parts[0].unionByName(parts[1]).groupBy("claim", "machine").agg(*most).withColumn("id", F.lit(""))
+
+
 def hydrate(claims: DataFrame, statuses: DataFrame, counters: DataFrame) -> DataFrame:
     """Claims as readers see them: effective status and counter totals (0 without a record)."""
     totals = counter_totals(counters).withColumnRenamed("claim", "id")
@@ -119,7 +126,11 @@ def visible_docs(docs: DataFrame, statuses: DataFrame) -> DataFrame:
 
 def current_docs(docs: DataFrame, statuses: DataFrame) -> DataFrame:
     """The newest visible version of each (branch, name)."""
-    rows = visible_docs(docs, statuses)
+    return newest_docs(visible_docs(docs, statuses))
+
+
+def newest_docs(rows: DataFrame) -> DataFrame:
+    """The newest version of each (branch, name)."""
     others = [c for c in rows.columns if c not in ("branch", "name")]
     newest = rows.groupBy("branch", "name").agg(F.max_by(F.struct(*others), "id").alias("v"))
     return newest.select("branch", "name", *[F.col(f"v.{c}").alias(c) for c in others])

@@ -491,3 +491,11 @@ def q_stream_catch_up(a: Adapted) -> DataFrame:
     from ..streaming.demo import catch_up_twice, shared_home
 
     return catch_up_twice(a, shared_home(a.spark))
+
+
+@query("SELECT id, kind, branch, base_status, status, helpful, harmful FROM claims")
+def q_kept_view(a: Adapted) -> DataFrame:
+    """All records go to a log in two parts; the kept view takes each part alone and equals a view of everything."""
+    from ..streaming.demo import keep_twice
+
+    return keep_twice(a, fresh_folder(a.spark, "home")).claims().select("id", "kind", "branch", "base_status", "status", "helpful", "harmful")

@@ -57,24 +57,46 @@ def read_lines(spark: SparkSession, home: str) -> DataFrame:
     return out.where(F.trim("value") != "")
 
 
-def parse(lines: DataFrame, verify: bool = True) -> Records:
-    """Decode lines (column ``value``). Bad JSON, unknown tags and wrong addresses become warnings, never failures."""
+def _judged(lines: DataFrame, verify: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decoded claims, documents and other lines, each with ``value`` and with why it is left out (``warning``; null for records)."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX"}
-    decoded = lines.withColumn("r", F.from_json("value", RECORD, options))
+    decoded = lines.select("value", F.from_json("value", RECORD, options).alias("r"))
     bad = F.col("r._corrupt_record").isNotNull() | F.col("r").isNull()
     tag = F.coalesce(F.col("r.rec").isin(*RECORD_TAGS), F.lit(False))
     reason = F.when(bad, "not a record").when(~tag, "unknown record type").when(F.col("r.id").isNull(), "no id")
-    rows = decoded.withColumn("warning", reason)
-    good = rows.where(F.col("warning").isNull()).select("r.*", "value").drop("_corrupt_record")
-    claims, docs = good.where("rec = 'claim'"), good.where("rec = 'doc'")
-    warnings = rows.where(F.col("warning").isNotNull()).select("value", "warning")
+    rows = decoded.select("r.*", "value", reason.alias("warning")).drop("_corrupt_record")
+    good = F.col("warning").isNull()
+    claims, docs = (rows.where(good & (F.col("rec") == r)) for r in ("claim", "doc"))
     if verify:
-        checked = with_address(claims, "_address").withColumn("_right", F.col("_address") == F.col("cid"))
-        read = docs.withColumn("_right", document_addresses("body") == F.col("cid"))
-        for df in (checked, read):
-            warnings = warnings.unionByName(df.where(~F.coalesce("_right", F.lit(False))).select("value", F.lit("address does not match").alias("warning")))
-        claims, docs = (df.where("_right").drop("_right", "_address") for df in (checked, read))
-    return Records(claims.drop("value"), good.where("rec = 'status'").drop("value"), good.where("rec = 'counter'").drop("value"), docs.drop("value"), warnings)
+        wrong = F.when(~F.coalesce(F.col("_address") == F.col("cid"), F.lit(False)), "address does not match")
+        claims = with_address(claims, "_address").withColumn("warning", wrong).drop("_address")
+        docs = docs.withColumn("_address", document_addresses("body")).withColumn("warning", wrong).drop("_address")
+    return claims, docs, rows.where(~(good & F.coalesce(F.col("rec").isin("claim", "doc"), F.lit(False))))
+
+
+def checked(lines: DataFrame, verify: bool = True) -> DataFrame:
+    """All decoded lines with their ``warning``, for who keeps them and reads them more than once (``split``)."""
+    claims, docs, others = _judged(lines, verify)
+    return claims.unionByName(docs).unionByName(others)
+
+
+def _records(claims: DataFrame, docs: DataFrame, others: DataFrame) -> Records:
+    of = lambda rows, tag: rows.where(F.col("warning").isNull() & (F.col("rec") == tag)).drop("value", "warning")
+    warnings = None
+    for rows in dict.fromkeys((claims, docs, others)):
+        left_out = rows.where("warning IS NOT NULL").select("value", "warning")
+        warnings = left_out if warnings is None else warnings.unionByName(left_out)
+    return Records(of(claims, "claim"), of(others, "status"), of(others, "counter"), of(docs, "doc"), warnings)
+
+
+def split(rows: DataFrame) -> Records:
+    """The records of checked rows by type."""
+    return _records(rows, rows, rows)
+
+
+def parse(lines: DataFrame, verify: bool = True) -> Records:
+    """Decode lines (column ``value``). Bad JSON, unknown tags and wrong addresses become warnings, never failures."""
+    return _records(*_judged(lines, verify))
 
 
 def read(spark: SparkSession, home: str, verify: bool = True) -> Records:

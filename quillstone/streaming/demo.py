@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.canonical import document_addresses, with_address
 from ..sources import log
 from ..sources.shared import fresh_folder
+from .kept import KeptView
 from .source import catch_up, local_path, read_tables
 
 #: Whose shard a record goes to; claims and documents of the tables have no machine.
@@ -57,6 +58,17 @@ def catch_up_twice(adapted, home: str) -> DataFrame:
     return summary(read_tables(spark, args[2]))
 
 
+def keep_twice(adapted, home: str) -> KeptView:
+    """The kept view of a log that half of all records are written to before it is first brought up to date, and half after."""
+    kept, found = KeptView(adapted.spark, home, f"{home}/view"), records(adapted)
+    for half in (0, 1):
+        for rec, df in found.items():
+            some = df.where(F.pmod(F.xxhash64("id"), F.lit(2)) == half)
+            log.write(some.select(F.lit(rec).alias("rec"), "*"), home, F.expr(MACHINES[rec]), "t_tx")
+        kept.catch_up()
+    return kept
+
+
 def summary(r: log.Records) -> DataFrame:
     out = None
     for rec, df in (("claim", r.claims), ("status", r.statuses), ("counter", r.counters), ("doc", r.docs), ("warning", r.warnings)):

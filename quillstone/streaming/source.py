@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from ..sources.log import parse
+from ..sources.log import checked, split
 
 NAME = "quillstone_log"
 #: Bytes of one partition; a longer line makes it longer.
@@ -26,6 +26,8 @@ SLICE = 64 << 20
 SHARED = 8 << 20
 #: Shards, and the files of bulk writes.
 PATTERNS = ("log/*/*.jsonl", "bulk/machine=*/month=*/part-*")
+#: What the error says if a file has lost lines that were read: what was made of them must be made again, with a new checkpoint.
+SHRUNK = "is shorter than what was read of it"
 _PLACE = re.compile(r"log/([^/]+)/([^/]+)\.jsonl$|bulk/machine=([^/]+)/month=([^/]+)/")
 
 
@@ -66,17 +68,21 @@ class LogReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
+        there = {}
         for path in sorted(x for pattern in PATTERNS for x in Path(self.home).glob(pattern)):
             name = str(path.relative_to(self.home))
-            self.reached[name] = last_line_end(str(path), self.reached.get(name, 0))
-        return dict(self.reached)
+            there[name] = last_line_end(str(path), self.reached.get(name, 0))
+        self.reached = there
+        return dict(there)
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
         out, size = [], SHARED
+        for name in start.keys() - end.keys():
+            raise RuntimeError(f"{name} {SHRUNK}: it is gone")
         for name, stop in sorted(end.items()):
             begin = start.get(name, 0)
             if stop < begin:
-                raise RuntimeError(f"{name} is shorter than the {begin} bytes read of it: rebuild with a new checkpoint")
+                raise RuntimeError(f"{name} {SHRUNK}: {stop} bytes of {begin}")
             self.reached[name] = max(self.reached.get(name, 0), stop)
             path = os.path.join(self.home, name)
             machine, month = (x for x in _PLACE.match(name).groups() if x)
@@ -128,6 +134,12 @@ def read_stream(spark: SparkSession, home: str) -> DataFrame:
     return spark.readStream.format(NAME).option("home", home).load()
 
 
+def take_new(spark: SparkSession, home: str, checkpoint: str, ingest: Callable[[DataFrame, int], None]) -> None:
+    """Hand on all lines that are new since the last run with this checkpoint, in numbered batches, and end."""
+    query = read_stream(spark, home).writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def catch_up(spark: SparkSession, home: str, tables: str, checkpoint: str, verify: bool = True) -> None:
     """Ingest everything new once, exactly once: each batch writes a folder of its own number again if it is retried.
 
@@ -136,15 +148,14 @@ def catch_up(spark: SparkSession, home: str, tables: str, checkpoint: str, verif
     """
 
     def ingest(lines: DataFrame, batch: int) -> None:
-        lines = lines.persist()
-        found = parse(lines, verify)
+        rows = checked(lines, verify).persist()
+        found = split(rows)
         for name in ("claims", "statuses", "counters", "docs", "warnings"):
             df = getattr(found, name)
             df.write.mode("overwrite").parquet(f"{tables}/{name}/batch={batch}")
-        lines.unpersist()
+        rows.unpersist()
 
-    query = read_stream(spark, home).writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    take_new(spark, home, checkpoint, ingest)
 
 
 def read_tables(spark: SparkSession, tables: str):
