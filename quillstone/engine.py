@@ -15,8 +15,9 @@ from .functions.files import new_id, resolve_branch, write_if_changed
 from .functions.render import index_text
 from .model import CONFIDENCES, DEFAULT_BRANCH, KINDS, STATUS_RANK, Weights
 from .operators import index, listing, mutations, packer, views
-from .operators.branches import Branches, find_docs, pool
+from .operators.branches import Branches, find_docs, pool, template
 from .sources import config, log
+from .sources.shared import fresh_folder
 from .streaming.kept import KeptView
 
 
@@ -35,7 +36,7 @@ class Engine:
         self.branches = Branches(config.load_branches(os.path.join(home, "branches.yaml")))
         self.weights: Weights = config.load_weights(os.path.join(home, "weights.yaml"))
         bound = config.find_binding(home) or {}
-        self.branch = branch or bound.get("branch") or DEFAULT_BRANCH
+        self.branch = branch or bound.get("branch") or self.active() or DEFAULT_BRANCH
         self._last: str | None = None
 
     # --- views -----------------------------------------------------------------
@@ -251,53 +252,128 @@ class Engine:
         before, and kinds that the target refuses, are left out. The number of copies."""
         at = dt.datetime.now(dt.timezone.utc)
         rows = mutations.merge_branch(self.claims, source, target, self.branches.holds_table(self.spark))
-        return self._write_claims(rows, at, "merge")
+        n = rows.count()
+        log.write(self._claim_records(rows, F.lit(at), "merge"), self.home, self.machine, "t_tx")
+        self.refresh()
+        return n
 
     def rename_project(self, old: str, new: str) -> int:
-        """Carry a project's live claims and current documents over to another name, with their supersession, and archive the originals.
+        """Carry a project's live claims, all its visible document versions and its definitions over to another name, and archive the originals.
 
-        The new name must not be in use. The number of claims that were carried.
+        The new name must not be in use. All records go to the log in one write, so a reader sees all of them or none; the
+        definitions follow. If a run has ended in between, another one finishes it. The number of claims that were carried.
         """
-        if not old or not new or "/" in new or any(b.split("/")[0] == new for b in self.names()):
-            raise ValueError(f"{new!r} is in use, or no name")
-        at = dt.datetime.now(dt.timezone.utc)
-        stamp = F.lit(at)
-        place = F.abs(F.xxhash64("id", F.lit(new))) % F.lit(10**16)
-        n = self._write_claims(mutations.rename_project(self.claims, old, new, mutations.time_id(stamp, place)), at, "rename")
-        docs = self.docs.where(F.split("branch", "/")[0] == old)
-        moved = docs.select(F.lit("doc").alias("rec"), mutations.time_id(stamp, place).alias("id"), F.concat(F.lit(f"{new}/"), F.element_at(F.split("branch", "/"), -1)).alias("branch"), "name", "title", "body", "cid", F.lit("rename").alias("src"), stamp.alias("t_tx"))
-        gone = mutations.remove_project(self.claims, views.visible_docs(self.records.docs, self.records.statuses), old, stamp)
-        log.write(moved, self.home, self.machine, "t_tx")
-        log.write(gone, self.home, self.machine, "t_tx")
+        if not old or not new or "/" in new:
+            raise ValueError(f"{new!r} is no name")
+        docs = views.visible_docs(views.unique_records(self.records.docs), self.records.statuses)
+        live = [b for b in (*self._branches_of(views.visible(self.claims)), *self._branches_of(docs)) if b.split("/")[0] == old]
+        if any(b.split("/")[0] == new for b in self.names()):
+            if live or new in self.branches.projects or old not in self.branches.projects:
+                raise ValueError(f"{new!r} is in use")
+            self._carry_definitions(old, new)  # an earlier run has written the records
+            return 0
+        at = F.lit(dt.datetime.now(dt.timezone.utc))
+        mine = self.claims.where((F.split("branch", "/")[0] == old) & (F.col("status") != "archived"))
+        fresh = mutations.numbered(mine.select("id"), at, fresh_folder(self.spark, "ids"))
+        rows = mutations.rename_project(mine.join(fresh, "id"), old, new, F.col("fresh"))
+        made = self._claim_records(rows, at, "rename")
+        moved = docs.where(F.split("branch", "/")[0] == old)
+        docs_made = self._in_order(moved.select(F.lit("doc").alias("rec"), F.lit("").alias("id"), F.concat(F.lit(f"{new}/"), F.element_at(F.split("branch", "/"), -1)).alias("branch"), "name", "title", "body", "cid", F.lit("rename").alias("src"), at.alias("t_tx"), F.col("id").alias("version")), at)
+        gone = mutations.remove_project(self.claims, docs, old, at)
+        everything = made.unionByName(docs_made, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
+        log.write(everything, self.home, self.machine, "t_tx")
+        self._carry_definitions(old, new)
         self.refresh()
-        return n
+        return fresh.count()
+
+    def _in_order(self, docs: DataFrame, at) -> DataFrame:
+        """Documents with new ids in the order of ``version``: ranges of it are numbered one after another."""
+        folder = fresh_folder(self.spark, "ids")
+        ordered = docs.repartitionByRange("version").sortWithinPartitions("version")
+        ordered.withColumn("id", mutations.time_id(at)).drop("version").write.parquet(folder)
+        return self.spark.read.schema(docs.drop("version").schema).parquet(folder)
+
+    def _branches_of(self, rows: DataFrame) -> list[str]:
+        return [r["branch"] for r in rows.select("branch").distinct().collect()]
+
+    # --- definitions -------------------------------------------------------------
+
+    def _define(self, projects: dict) -> None:
+        config.save_branches(os.path.join(self.home, "branches.yaml"), projects)
+        self.branches = Branches(projects)
+
+    def _archived(self, projects: dict, names: list[str]) -> dict:
+        """``projects`` with the definitions of these branches marked archived."""
+        return {p: {b: {**(d or {}), "archived": True} if f"{p}/{b}" in names else d for b, d in bs.items()} for p, bs in projects.items()}
+
+    def _carry_definitions(self, old: str, new: str) -> None:
+        projects = self.branches.projects
+        if old not in projects or new in projects:
+            return
+        there = lambda name: f"{new}/{name.split('/')[1]}" if name and name.startswith(f"{old}/") else name
+        carried = {b: {**(d or {}), **({"parent": there(d["parent"])} if (d or {}).get("parent") else {}), **({"inherits": {there(k): v for k, v in d["inherits"].items()}} if (d or {}).get("inherits") else {})} for b, d in projects[old].items()}
+        self._define({**self._archived(projects, [f"{old}/{b}" for b in projects[old]]), new: carried})
+
+    def new_branch(self, branch: str, kind: str = "research", parent: str | None = None) -> dict:
+        """Define a branch from a template; its parent, if it has one, is a branch of the same project or a qualified one."""
+        self._define(self.branches.insert(branch, template(kind, parent)).projects)
+        return self.branches.get(branch)
+
+    def ensure_project(self, name: str) -> bool:
+        """Define a project's research branch unless the project is defined; whether it is new."""
+        if name in self.branches.projects:
+            return False
+        self.new_branch(f"{name}/research")
+        return True
+
+    def set_active(self, branch: str) -> None:
+        """Make ``branch`` the one that is used where none is named, now and by later engines over this home."""
+        branch = self.resolve_branch(branch)
+        os.makedirs(os.path.join(self.home, "refs"), exist_ok=True)
+        write_if_changed(os.path.join(self.home, "refs", "active"), branch + "\n")
+        self.branch = branch
+
+    def active(self) -> str | None:
+        """The branch that was made active, if any."""
+        path = os.path.join(self.home, "refs", "active")
+        if not os.path.exists(path):
+            return None
+        with open(path, encoding="utf-8") as f:
+            return f.read().strip() or None
 
     def archive_branch(self, branch: str) -> int:
-        """Archive the live claims of a branch; its documents and definition stay. The number of claims."""
+        """Archive the live claims of a branch and mark its definition; its documents stay. The number of claims."""
         rows = mutations.archive_branch(self.claims, branch, F.lit(dt.datetime.now(dt.timezone.utc)))
         n = rows.count()
         log.write(rows, self.home, self.machine, "t_tx")
+        if self.branches.get(branch) is not None:
+            self._define(self._archived(self.branches.projects, [branch]))
         self.refresh()
         return n
 
-    def _write_claims(self, rows: DataFrame, at: dt.datetime, src: str) -> int:
-        """Append claims that a mutation made (column ``origin``: what they were made of), addressed anew."""
-        stamp = F.lit(at)
-        place = F.abs(F.xxhash64("origin", F.lit(src))) % F.lit(10**16)
-        made = with_address(rows if src == "rename" else rows.withColumn("id", mutations.time_id(stamp, place)))
-        out = made.select(F.lit("claim").alias("rec"), "id", "cid", "kind", "branch", "text", "why", "refs", "entities", "supersedes" if src == "rename" else F.lit(None).cast("string").alias("supersedes"), "status", "confidence", F.lit(src).alias("src"), "t_valid", stamp.alias("t_tx"))
-        n = out.count()
-        log.write(out, self.home, self.machine, "t_tx")
-        if src != "rename":
-            self.refresh()
-        return n
+    def _claim_records(self, rows: DataFrame, stamp, src: str) -> DataFrame:
+        """The log records of claims that a mutation made (column ``origin``: what they were made of), addressed anew."""
+        made = with_address(rows if src == "rename" else rows.withColumn("id", mutations.time_id(stamp)))
+        chain = F.col("supersedes") if src == "rename" else F.lit(None).cast("string").alias("supersedes")
+        return made.select(F.lit("claim").alias("rec"), "id", "cid", "kind", "branch", "text", "why", "refs", "entities", chain, "status", "confidence", F.lit(src).alias("src"), "t_valid", stamp.alias("t_tx"))
 
     def remove(self, branch: str) -> tuple[int, int]:
-        """Archive all live claims and document versions of a branch: nothing is erased."""
+        """Archive all live claims and document versions of a branch: nothing is erased. The numbers of claims and of documents."""
+        return self._remove(lambda b: b == branch)
+
+    def remove_project(self, name: str) -> tuple[int, int]:
+        """Archive all live claims and document versions of a project's branches."""
+        return self._remove(lambda b: F.split(b, "/")[0] == name)
+
+    def _remove(self, of) -> tuple[int, int]:
         docs = views.visible_docs(self.records.docs, self.records.statuses)
-        counts = mutations.removal_counts(self.claims, docs).where(F.col("branch") == branch).first()
-        rows = mutations.removal(self.claims, docs).where(F.col("branch") == branch)
+        mine = of(F.col("branch"))
+        counts = mutations.removal_counts(self.claims, docs).where(mine).collect()  # a row a branch
+        rows = mutations.removal(self.claims, docs).where(mine)
         at = F.lit(dt.datetime.now(dt.timezone.utc))
-        log.write(mutations.transitions(rows, "archived", F.lit(f"branch {branch} removed"), "api", at), self.home, self.machine, "t_tx")
+        log.write(mutations.transitions(rows, "archived", F.concat(F.lit("branch "), "branch", F.lit(" removed")), "api", at), self.home, self.machine, "t_tx")
+        gone = [b for b in self.branches.all() if b in {r["branch"] for r in counts}]
+        if gone:
+            self._define(self._archived(self.branches.projects, gone))
         self.refresh()
-        return (counts["claims"], counts["docs"]) if counts else (0, 0)
+        return sum(r["claims"] for r in counts), sum(r["docs"] for r in counts)

@@ -59,34 +59,51 @@ def map_text(shown: DataFrame, links: DataFrame) -> DataFrame:
     return per.unionByName(across.groupBy("branch").agg(F.array_join(F.sort_array(F.collect_list("t")), "\n").alias("text")))
 
 
-def similar_pairs(claims: DataFrame, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
-    """Pairs (a, b) of claims, a before b, whose word sets are at least ``threshold`` alike; exact.
+def similar_sets(claims: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Claims by distinct word set, (id, node), and the pairs (a, b, similarity) of nodes at least ``threshold`` alike; exact.
 
-    A prefix-filter join: with the words of each claim from the rarest to the commonest, a pair that alike
-    shares one of the first n - ceil(t n) + 1, so only those are join keys. Sizes are compared first.
+    A node is the smallest id of the claims whose words are the same, so however many they are they make a row each, and a is
+    before b. Claims without words are in no node; an empty table has none.
+    A prefix-filter join: with the words of each node from the rarest to the commonest, a pair that alike shares one of the first
+    n - ceil(t n) + 1, so only those are join keys. Sizes are compared first.
     """
-    by = by or []
-    sets = claims.select(*by, "id", words_of(F.concat_ws(" ", "text", "why")).alias("words")).where(F.size("words") > 0).persist()  # read four times
-    each = sets.select(*by, "id", F.explode("words").alias("w"))
+    own = claims.select("id", F.array_sort(words_of(F.concat_ws(" ", "text", "why"))).alias("words")).where(F.size("words") > 0)
+    own = own.withColumn("key", F.unhex(F.md5(F.array_join("words", " "))))
+    nodes = own.groupBy("key").agg(F.min("id").alias("node"), F.first("words").alias("words"))
+    members = own.select("id", "key").join(nodes.select("key", "node"), "key").select("id", "node")
+    each = nodes.select("node", F.explode("words").alias("w"))
     frequency = each.groupBy("w").agg(F.count("*").alias("n"))
-    ordered = each.join(frequency, "w").groupBy(*by, "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("words"))
+    ordered = each.join(frequency, "w").groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("words"))
     size = F.size("words")
     keep = size - F.ceil(threshold * size - 1e-9).cast("int") + 1
-    keyed = ordered.select(*by, "id", size.alias("size"), F.explode(F.slice("words", F.lit(1), keep)).alias("w"))
+    keyed = ordered.select("node", size.alias("size"), F.explode(F.slice("words", F.lit(1), keep)).alias("w"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    same = F.col("a.w") == F.col("b.w")
-    for c in by:
-        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    near = (F.col("a.id") < F.col("b.id")) & (F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size") - 1e-9)
-    pairs = a.join(b, same & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    words = sets.select("id", "words")
+    near = (F.col("a.node") < F.col("b.node")) & (F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size") - 1e-9)
+    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    words = nodes.select("node", "words")
     full = pairs.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b")
-    return full.select("a", "b", jaccard("wa", "wb").alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    return members, full.select("a", "b", jaccard("wa", "wb").alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+
+
+def similar_pairs(claims: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(a, b, similarity): the pairs of nodes, and each other claim of a node with that (similarity 1)."""
+    members, pairs = similar_sets(claims, threshold)
+    return pairs.unionByName(members.where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
 def refine(claims: DataFrame, threshold: float = 0.5, most: int = 30) -> DataFrame:
-    """The most similar pairs, as a report."""
-    return similar_pairs(claims, threshold).orderBy(F.desc("similarity"), "a", "b").limit(most)
+    """The ``most`` most similar pairs of claims, as a report: of equals the smaller ids first.
+
+    Only the first ``most`` pairs of nodes, by the least of their members, and the first members of a node can be among them.
+    """
+    members, pairs = similar_sets(claims, threshold)
+    first = members.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("r") <= most + 1).drop("r")
+    first = first.persist()  # read five times
+    x, y = first.toDF("a", "node"), first.toDF("b", "node")
+    same = x.join(y, "node").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    best = pairs.orderBy(F.desc("similarity"), "a", "b").limit(most).toDF("na", "nb", "similarity")
+    across = best.join(first.toDF("x", "na"), "na").join(first.toDF("y", "nb"), "nb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    return same.unionByName(across).orderBy(F.desc("similarity"), "a", "b").limit(most)
 
 
 def verify(pool: DataFrame, root: str, back: int = 500) -> DataFrame:

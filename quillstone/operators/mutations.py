@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,15 +11,24 @@ from ..functions.canonical import document_addresses, normalized, with_address
 from ..functions.text import estimate, is_document_name, lane, project, title_of
 from ..model import MERGE_PREFIX, kind_of
 
-#: Id of the n-th new record: the time's 10 characters, then the place among those written together.
+#: The digits of ids, in their order.
 _DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
 
-def time_id(at: Column, place: Column) -> Column:
-    """A 26-character id in base 32 that sorts by time, then by place."""
-    ms = F.unix_millis(at)
-    digit = lambda k: F.substring(F.lit(_DIGITS), (F.shiftright(ms, 5 * k).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
-    return F.concat(*[digit(k) for k in range(9, -1, -1)], F.lpad(place.cast("string"), 16, "0"))
+def _base32(value: Column, digits: int) -> Column:
+    digit = lambda k: F.substring(F.lit(_DIGITS), (F.shiftrightunsigned(value, 5 * k).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
+    return F.concat(*[digit(k) for k in range(digits - 1, -1, -1)])
+
+
+def time_id(at: Column, place: Column | None = None, operation: int | None = None) -> Column:
+    """A 26-character id in base 32 that sorts by time: the milliseconds, 15 bits of the operation, and the row's place.
+
+    The place is Spark's own numbering of rows, so no two rows of one write share an id; who reads such a column twice, in a join
+    say, writes it first. ``operation`` is drawn at random, so that two writers of the same millisecond differ.
+    """
+    operation = secrets.randbits(15) if operation is None else operation
+    place = F.monotonically_increasing_id() if place is None else place
+    return F.concat(_base32(F.unix_millis(at), 10), F.lit("".join(_DIGITS[operation >> s & 31] for s in (10, 5, 0))), _base32(place, 13))
 
 
 def drafts(inputs: DataFrame, at: Column) -> DataFrame:
@@ -62,8 +73,7 @@ def batch_report(saved: DataFrame) -> DataFrame:
 
 def transitions(targets: DataFrame, to: str, reason: Column | None, src: str, at: Column) -> DataFrame:
     """A status record for each id in ``targets``."""
-    place = F.abs(F.xxhash64("id", F.lit(to))) % F.lit(10**16)
-    return targets.select(F.lit("status").alias("rec"), time_id(at, place).alias("id"), F.col("id").alias("claim"), F.lit(to).alias("to"), (F.lit(None).cast("string") if reason is None else reason).alias("reason"), F.lit(src).alias("src"), at.alias("t_tx"))
+    return targets.select(F.lit("status").alias("rec"), time_id(at).alias("id"), F.col("id").alias("claim"), F.lit(to).alias("to"), (F.lit(None).cast("string") if reason is None else reason).alias("reason"), F.lit(src).alias("src"), at.alias("t_tx"))
 
 
 def review(claims: DataFrame, targets: DataFrame, accept: bool, at: Column) -> DataFrame:
@@ -112,9 +122,16 @@ def remove_project(claims: DataFrame, docs: DataFrame, name: str, at: Column) ->
     return transitions(rows.drop("record"), "archived", F.concat(F.lit("branch "), "branch", F.lit(" removed")), "cli", at)
 
 
+def numbered(ids: DataFrame, at: Column, folder: str) -> DataFrame:
+    """``ids`` (column id) with a new id each (column fresh), written to ``folder`` so that all who read it see the same."""
+    ids.select("id", time_id(at).alias("fresh")).write.mode("overwrite").parquet(folder)
+    return ids.sparkSession.read.schema("id string, fresh string").parquet(folder)
+
+
 def rename_project(claims: DataFrame, old: str, new: str, new_id: Column) -> DataFrame:
     """Copies of a project's live claims under another name: new ids, the same valid time, and the supersession
-    chain carried over to the new ids where the replaced claim is copied too. ``origin`` is the old id."""
+    chain carried over to the new ids where the replaced claim is copied too. ``origin`` is the old id. ``new_id`` is read
+    twice, so it must say the same each time: a function of the row, or a column that was written (``numbered``)."""
     rows = claims.where((project("branch") == old) & (F.col("status") != "archived")).withColumn("fresh", new_id)
     ids = rows.select(F.col("id").alias("supersedes"), F.col("fresh").alias("chained"))
     moved = rows.join(ids, "supersedes", "left")

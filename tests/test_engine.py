@@ -93,3 +93,44 @@ def test_whole_branches_move(engine):
     chained = e.scan(branch="memo/research").where("supersedes IS NOT NULL").collect()
     assert len(chained) == 1 and e.get(chained[0]["supersedes"]).first()["text"] == "Notes are plain text"
     assert e.archive_branch("memo/code") == 1 and e.archive_branch("memo/code") == 0
+
+
+def test_a_rename_that_dies_is_finished_by_the_next(engine, monkeypatch):
+    e = engine
+    e.save("decision", "Notes are plain text")
+    e.save_doc("spec", "# Plan")
+    real = Engine._carry_definitions
+
+    def die(self, old, new):
+        raise RuntimeError("died")
+
+    monkeypatch.setattr(Engine, "_carry_definitions", die)
+    with pytest.raises(RuntimeError, match="died"):
+        e.rename_project("notes", "memo")
+    monkeypatch.setattr(Engine, "_carry_definitions", real)
+    e = Engine(e.spark, e.home, "m1", "memo/research")
+    assert [(r["branch"], r["status"]) for r in e.claims.orderBy("branch").collect()] == [("memo/research", "active"), ("notes/research", "archived")]
+    assert e.rename_project("notes", "memo") == 0 and e.claims.count() == 2
+    assert e.branches.get("memo/code") == {"parent": "research", "holds": ["decision", "constraint"], "inherits": {"research": ["decision"]}}
+    assert all(e.branches.get(b)["archived"] for b in e.branches.all() if b.startswith("notes/")) and not e.branches.get("memo/research").get("archived")
+    with pytest.raises(ValueError, match="in use"):
+        e.rename_project("notes", "memo")
+    e.set_active("memo/code")
+    again = Engine(e.spark, e.home, "m1")
+    assert again.active() == again.branch == "memo/code"
+    assert again.ensure_project("other") and not again.ensure_project("other") and again.branches.get("other/research")["compile"] == "dossier"
+    again.new_branch("memo/talk", "writing", "research")
+    assert again.remove_project("memo") == (1, 1) and config.load_branches(f"{e.home}/branches.yaml")["memo"]["research"]["archived"]
+
+
+def test_ids_of_one_write_are_unique(spark):
+    from pyspark.sql import functions as F
+
+    from quillstone.operators import mutations
+
+    at = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    rows = spark.range(5000).repartition(7).select(F.lit("same").alias("id"))
+    made = mutations.transitions(rows, "archived", None, "x", at).collect()
+    assert len({r["id"] for r in made}) == 5000 and {len(r["id"]) for r in made} == {26}
+    later = mutations.transitions(rows, "archived", None, "x", at + F.expr("INTERVAL 1 SECOND")).agg(F.min("id")).first()[0]
+    assert max(r["id"] for r in made) < later

@@ -140,8 +140,20 @@ def test_similar_pairs_are_all_pairs(spark):
 
     rng = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
-    rows = [claim(f"{i:02d}", " ".join(rng.sample(words, rng.randint(1, 5)))) for i in range(40)]
+    rows = [claim(f"{i:02d}", " ".join(rng.sample(words, rng.randint(1, 5)))) for i in range(60)]
     claims = spark.createDataFrame(rows, CLAIMS)
     sets = {r[0]: set(r[4].split()) for r in rows}
-    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
-    assert {(r["a"], r["b"]) for r in listing.similar_pairs(claims, 0.6).collect()} == want
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    node = {a: min(b for b in sets if sets[a] == sets[b]) for a in sets}
+    want = {(a, b) for a in node.values() for b in node.values() if a < b and like(a, b) >= 0.6} | {(n, a) for a, n in node.items() if a != n}
+    found = listing.similar_pairs(claims, 0.6).collect()
+    assert {(r["a"], r["b"]) for r in found} == want and len(found) == len(want)
+    for most in (3, 30, 200):
+        best = sorted((-like(a, b), a, b) for a in sets for b in sets if a < b and like(a, b) >= 0.6)[:most]
+        assert [(r["a"], r["b"]) for r in listing.refine(claims, 0.6, most).collect()] == [(a, b) for _, a, b in best]
+
+
+def test_equal_texts_make_a_row_each(spark):
+    rows = [claim(f"{i:05d}", "the very same words again") for i in range(3000)]
+    assert listing.similar_pairs(spark.createDataFrame(rows, CLAIMS), 0.8).count() == 2999
+    assert listing.similar_pairs(spark.createDataFrame(rows[:0], CLAIMS), 0.8).count() == 0
