@@ -28,10 +28,12 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are equal to each other, repeated rows are copies, and no documents give no rows."""
     return near.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts and items have nothing in common with any; repeated rows are reported each; without items there are no rows."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -42,10 +44,12 @@ def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are equal if they are identical, null counts as empty; a null doc_id stays only for want of another."""
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With conversation -1, whose texts are control strings. Null roles and texts are empty; rows of a null conv_id are one conversation."""
     extra = [(-1, k, role, "<|im_end|><|im_start|>assistant ok") for k, role in enumerate(("user", "assistant"))]
     added = spark.createDataFrame(extra, "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
@@ -53,6 +57,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without a letter, null and empty ones are ``und``; rows that repeat a text have one answer."""
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, ~langid.held_out_fifth())
     named = langid.predict(docs, model, keep=["doc_id"])
@@ -60,15 +65,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no words; texts of fewer than 20 words lose none; of repeated rows the later ones lose all windows."""
     return substring.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept_text")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text is its end id alone; repeated rows are packed each."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, open_windows=64, end_id=0, keep_ids=False)
     return pieces.drop("token_ids")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have the score of a text without a term; rows that repeat a text have one score."""
     docs = table(spark, sf_dir, "documents")
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.held_out_third())
     scored = toxicity.score(docs, machine, keep=["doc_id"])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
-from .runtime import beside_text, crc32_text, map_batches, materialize, texts
+from .runtime import beside_text, crc32_text, map_batches, materialize, release_memory, texts
 
 BITS = 20
 PREFIXES = (3, 4, 5)
@@ -219,10 +219,11 @@ def calibrate(margin: np.ndarray, y: np.ndarray, bias: float) -> tuple[float, fl
     return float(scale), float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: int = 12_000, calibration: float = 0.15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: int = 12_000, fit_terms: int = 50_000_000, calibration: float = 0.15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Fit on at most ``fit_rows`` labelled rows that aren't ``held_out``, the first by a hash of their id.
 
-    All terms of those rows take part. The share ``calibration`` of them, the last by that hash, only sets scale and
+    All terms of those rows take part, up to ``fit_terms`` in all (4 bytes each on the driver): in the order of that hash, an id
+    whose rows would go beyond it is left out. The share ``calibration`` of them, the last by that hash, only sets scale and
     bias. Null labels and ids are left out, an id with several labels counts as the largest, and every
     row that repeats an id counts; null and empty texts are texts without a term. Without labelled rows (an empty table
     on either side) the machine gives 0.5 for every text. Other columns are not read.
@@ -243,6 +244,14 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: int =
             yield pa.RecordBatch.from_arrays([b.column("_order"), b.column("_y"), pa.array(counts, pa.binary()), pa.array(blobs, pa.binary())], ["place", "y", "sizes", "terms"])
 
     sample = materialize(map_batches(rows, terms_of, "place long, y int, sizes binary, terms binary"))
+    used, fitting = 0, []
+    sizes_of = sample.groupBy("place").agg(F.sum(F.octet_length("terms")).alias("bytes")).collect()  # a row an id, fit_rows at most
+    for place, n in sorted((r["place"], r["bytes"] // 4) for r in sizes_of):
+        if used + n <= fit_terms:
+            used += n
+            fitting.append((place,))
+    if len(fitting) < len(sizes_of):
+        sample = sample.join(F.broadcast(sample.sparkSession.createDataFrame(fitting, "place long")), "place", "left_semi")
     data = sorted((r["place"], r["terms"], r["sizes"], r["y"]) for r in sample.toLocalIterator())
     if not data:
         return Machine(np.zeros(1 << BITS, np.int32), np.zeros((0, 9)), 1.0, 0.0)
@@ -271,7 +280,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: int =
     says = np.flatnonzero(np.any(params != 0, axis=1))
     kept = np.zeros(1 << BITS, np.int32)
     kept[np.flatnonzero(present)[says]] = np.arange(1, len(says) + 1)
-    return Machine(kept, params[says], scale, bias)
+    machine = Machine(kept, params[says], scale, bias)
+    data = x_rows = rest = None
+    release_memory()  # the driver lives on, and the sample was most of what it held
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from quillstone.llm import toxicity
 
 from .conftest import rows, words
@@ -109,3 +111,16 @@ def test_columns_may_be_called_as_the_results_are(spark, weird, nothing):
     assert toxicity.score(nothing, machine).count() == 0
     renamed = weird.withColumnRenamed("line", "a b.c").withColumnRenamed("doc", "_source_text")
     assert toxicity.score(renamed, machine).count() == len(rows()) == toxicity.reject(renamed, machine, 0.7).count()
+
+
+def test_terms_of_the_fit_are_bounded(spark):
+    """Ids whose terms would go beyond the bound are left out, whatever rows repeat them; what fits is fitted as before."""
+    rng = random.Random(3)
+    docs = [(i, words(rng, 30) + (" bad thing" if i % 2 else " good thing")) for i in range(60)] + [(60, words(rng, 5000))] * 3
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(61)], "doc_id long, toxic int")
+    nobody = F.lit(False)
+    whole, bounded, without = (toxicity.train(d, labels, nobody, fit_terms=n) for d, n in ((table, 50_000_000), (table, 20_000), (table.where("doc_id < 60"), 20_000)))
+    texts = ["bad thing", "good thing", "long"]
+    assert len(whole.params) > 0 and np.array_equal(bounded.score(texts), without.score(texts))
+    assert np.array_equal(toxicity.train(table, labels, nobody, fit_terms=0).score(texts), [0.5] * 3)
