@@ -32,7 +32,7 @@ def test_stages_follow_each_other(spark):
 
 
 def test_all_queries_are_registered():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 13)]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact", "near", "decontamination", "packing"]
 
 
