@@ -3,9 +3,9 @@
 import pytest
 
 from quillstone.functions.render import Meta
-from quillstone.model import projection
+from quillstone.model import Weights, projection
 from quillstone.operators.branches import Branches
-from quillstone.operators.packer import choices, compile_pack, packs
+from quillstone.operators.packer import SLIM, choices, choose, compile_pack, in_rounds, packs, slim_rows
 from quillstone.operators.weights import weighted
 from test_packs import corpus
 
@@ -52,3 +52,29 @@ def test_a_branch_of_which_nothing_fits(spark, claims):
     got = packs(claims.where("id = '99999'"), BRANCHES.pool_table(spark), "markdown", 100).collect()
     assert {r["for_branch"]: r["n"] for r in got} == {"p/a": 0, "p/b": 0}
     assert packs(claims.limit(0), BRANCHES.pool_table(spark), "markdown").count() == 0
+
+
+@pytest.mark.parametrize("name, budget", [("agents-md", 400), ("markdown", 1500), ("dossier", 900)])
+def test_rounds_choose_what_one_choice_over_all_would(spark, claims, name, budget):
+    sources = BRANCHES.pool_table(spark)
+    relevance = claims.where("id < '00090'").selectExpr("id", "CASE WHEN id < '00010' THEN 0.7D ELSE 0.3D END AS relevance").distinct()
+    pins = spark.createDataFrame([("p/a", "00070"), ("p/a", "00012"), ("p/b", "10003")], "for_branch string, id string")
+    for rank, pin in ((None, None), (relevance, pins)):
+        found = [sorted((r["for_branch"], r["place"] or 0, r["id"], r["reason"], r["weight"], r["pinned"]) for r in choices(claims, sources, name, budget, relevance=rank, pins=pin, seen=seen).collect()) for seen in (4, 23, 1000)]
+        assert found[0] == found[1] == found[2] and len(found[0]) > 8
+        rows = slim_rows(claims, sources, budget, Weights(), rank, pin).toPandas()
+        for branch in ("p/a", "p/b"):
+            own = rows[(rows["for_branch"] == branch)]
+            most = own["relevance"].max()
+            able = own[own["able"]].assign(relevance=(own["relevance"] / most).fillna(1.0)).drop_duplicates("id").sort_values("id").to_dict("records")
+            want = [(able[i]["id"], reason) for i, reason in choose(able, Meta(branch, budget), name, Weights())]
+            assert [(r[2], r[3]) for r in found[0] if r[0] == branch] == want
+
+
+def test_equal_claims_are_chosen_by_id_over_many_rounds(spark):
+    """Two hundred claims of one worth in many partitions, two seen at a time."""
+    rows = [("p/a", f"{k:03d}", True, 0.5, 1.0, False, 30, 0, ["t"], [k]) for k in range(200)]
+    slim = spark.createDataFrame(rows, SLIM).repartition(6)
+    got = sorted((r["place"], r["id"]) for r in in_rounds(slim, "markdown", 700, Weights(), 2).collect())
+    assert [i for _, i in got] == [f"{k:03d}" for k in range(len(got))] and len(got) > 5
+    assert in_rounds(slim.limit(0), "markdown", 700, Weights(), 2).count() == 0
