@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +115,32 @@ def climb(level: list[bytes]) -> bytes:
     return level[0]
 
 
+def climb_all(leaves: list[bytes], picks: np.ndarray) -> list[bytes]:
+    """The node above the leaves of each row of ``picks``: places in ``leaves``, one at least, and -1 behind the last.
+
+    Trees over much the same leaves have many nodes in common: each is hashed once.
+    """
+    if not len(picks):
+        return []
+    nodes, at = np.frombuffer(b"".join(leaves), np.uint8).reshape(-1, 32), picks.astype(np.int64)
+    while at.shape[1] > 1:
+        if at.shape[1] % 2:
+            at = np.concatenate([at, np.full((len(at), 1), -1)], axis=1)
+        base = len(nodes) + 1
+        pair = np.where(at[:, ::2] < 0, -1, at[:, ::2] * base + at[:, 1::2] + 1)
+        distinct, at = np.unique(pair, return_inverse=True)
+        at = at.reshape(pair.shape)
+        if distinct[0] < 0:
+            distinct, at = distinct[1:], at - 1
+        left, right = distinct // base, distinct % base - 1
+        above, both = nodes[left], right >= 0  # an odd last node moves up
+        hashed = blake3([b"\1" + nodes[a].tobytes() + nodes[b].tobytes() for a, b in zip(left[both], right[both], strict=True)])
+        if hashed:
+            above[both] = np.frombuffer(bytes.fromhex("".join(hashed)), np.uint8).reshape(-1, 32)
+        nodes = above
+    return [nodes[i].tobytes() for i in at[:, 0]]
+
+
 #: Leaves of one subtree of a distributed tree.
 RUN = 1 << 12
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.blake3 import blake3
-from ..functions.canonical import ADDRESS_PREFIX, RUN, climb, merkle_root, placed_leaves
+from ..functions.canonical import ADDRESS_PREFIX, RUN, climb, climb_all, merkle_root, placed_leaves
 from ..functions.text import jaccard, label_of, project, short_tag, words_of
 
 
@@ -113,35 +113,53 @@ def verify(pool: DataFrame, root: str, back: int = 500) -> DataFrame:
     the beginning of a root, in either case and with white space around it; an empty one is an error. An empty pool
     has the root of no claim; claims without an address are left out, and repeated rows count once in a tree.
 
-    Looks at most ``back`` records back, which is the feature. Without its newest claims the pool's tree keeps
-    the order of its leaves, so run j of each state lies within RUN + ``back`` leaves from place j * RUN of the
-    whole: a task takes those, whatever the size of the pool, and gives the run's subtree in all states.
+    Looks at most ``back`` records back, which is the feature, in growing steps: at the whole pool, then at 1 to 8 claims fewer,
+    at 9 to 64, and so on, and no further than the first that has the root. Without its newest claims the pool's tree keeps
+    the order of its leaves, so run j of each state of a step lies within RUN leaves and as many as the step leaves out from
+    place j * RUN of the whole: a task takes those, whatever the size of the pool, and gives the run's subtree in
+    all states of the step, which share their nodes.
     """
     root = root.strip().lower()
     if not root.removeprefix(ADDRESS_PREFIX):
         raise ValueError("no root to verify")
     spark = pool.sparkSession
-    pool = pool.select("id", "cid").where("cid IS NOT NULL").persist()  # read four times
-    newest = pool.orderBy(F.desc("id"), F.desc("cid")).limit(back).collect()
+    pool = pool.select("id", "cid").where("cid IS NOT NULL").persist()  # read three times
+    newest = pool.orderBy(F.desc("id"), F.desc("cid")).limit(back + 1).collect()
+    whole, newest = len(newest) <= back, newest[:back]  # whether all of it can be left out
     # an address goes with the oldest of its claims: in state k if that is among the k newest
     last = {r["cid"]: k + 1 for k, r in enumerate(newest)}
     gone = spark.createDataFrame([(c, k, sum(r["cid"] == c for r in newest)) for c, k in last.items()], "cid string, gone int, _new long")
     counts = pool.groupBy("cid").agg(F.count("*").alias("_all"))
     leaves = counts.join(F.broadcast(gone), "cid", "left").select(F.lit(0).alias("_g"), "cid", F.when(F.col("_all") == F.col("_new"), F.col("gone")).alias("gone"))
-    placed = placed_leaves(leaves, ["_g"]).persist()
+    placed = placed_leaves(leaves, ["_g"]).select("_p", "cid", "gone").persist()  # read once a step
     removed = np.array(sorted(map(tuple, placed.where("gone IS NOT NULL").select("_p", "gone").collect())), np.int64).reshape(-1, 2)
-    states = min(back, len(newest))
-    runs = F.expr(f"explode(sequence(greatest(0, (_p - {back}) div {RUN}), _p div {RUN}))")
-    nodes = placed.select("_p", "cid", "gone", runs.alias("run")).groupBy("run").applyInPandas(_run_nodes(removed, states, RUN), "behind long, run long, node string")
 
     @F.pandas_udf("string")
     def top(node: pd.Series) -> str:
         return ADDRESS_PREFIX + climb([bytes.fromhex(x[8:]) for x in sorted(node)]).hex()
 
-    roots = nodes.groupBy("behind").agg(top(F.concat(F.lpad(F.hex("run"), 8, "0"), "node")).alias("root"))
-    if 0 < len(newest) and pool.limit(back + 1).count() == len(newest):  # all of it can be left out
-        roots = roots.unionByName(spark.createDataFrame([(len(newest), merkle_root([]))], "behind long, root string"))
-    return roots.where(F.col("root").startswith(root)).orderBy("behind").limit(1)
+    found = []
+    for first, most in steps(len(newest)):
+        runs = F.expr(f"explode(sequence(greatest(0, (_p - {most}) div {RUN}), _p div {RUN}))")
+        nodes = placed.select("_p", "cid", "gone", runs.alias("run")).groupBy("run").applyInPandas(_run_nodes(removed, range(first, most + 1), RUN), "behind long, run long, node string")
+        roots = nodes.groupBy("behind").agg(top(F.concat(F.lpad(F.hex("run"), 8, "0"), "node")).alias("root"))
+        found = roots.where(F.col("root").startswith(root)).orderBy("behind").limit(1).collect()
+        if found:
+            break
+    if not found and newest and whole and merkle_root([]).startswith(root):
+        found = [(len(newest), merkle_root([]))]
+    placed.unpersist()
+    pool.unpersist()
+    return spark.createDataFrame(found, "behind long, root string")
+
+
+def steps(most: int) -> list[tuple[int, int]]:
+    """Numbers 0 to ``most`` in steps (first, last): 0 alone, up to 8, up to 64, ..."""
+    found, last = [(0, 0)], 0
+    while last < most:
+        found.append((last + 1, min(most, max(8, 8 * last))))
+        last = found[-1][1]
+    return found
 
 
 def verdict(found: DataFrame) -> str:
@@ -160,25 +178,27 @@ def unseen(claims: DataFrame, pack: str, branch: str) -> DataFrame:
     return live.where(~F.coalesce(F.contains(F.lit(pack), tag), F.lit(False))).orderBy("id")
 
 
-def _run_nodes(removed: np.ndarray, states: int, size: int):
-    """The subtree of a run in every state: removed are the (place, state it is gone in) of leaves that go."""
+def _run_nodes(removed: np.ndarray, states: range, size: int):
+    """The subtree of a run in each of ``states``: removed are the (place, state it is gone in) of leaves that go."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         j = int(key[0])
         group = group.sort_values("_p")
         leaf = [bytes.fromhex(x) for x in blake3([b"\0" + c.encode() for c in group["cid"]])]
-        gone = group["gone"].fillna(states + 1).to_numpy(np.int64)
+        gone = group["gone"].fillna(states.stop).to_numpy(np.int64)
         before = removed[removed[:, 0] < j * size, 1]
-        known, rows = {}, []
-        for k in range(states + 1):
-            skip, left = int((before <= k).sum()), gone > k
-            state = (skip, int(left.sum()))  # leaves only go, so the number tells which are left
-            if state not in known:
-                some = np.flatnonzero(left)[skip : skip + size]
-                known[state] = climb([leaf[i] for i in some]).hex() if len(some) else None
-            if known[state] is not None:
-                rows.append((k, j, known[state]))
-        return pd.DataFrame(rows, columns=["behind", "run", "node"])
+        picks, at = {}, []
+        for k in states:
+            skip, left = int((before <= k).sum()), np.flatnonzero(gone > k)
+            state = (skip, len(left))  # leaves only go, so the number tells which are left
+            if len(left) > skip:
+                picks.setdefault(state, left[skip : skip + size])
+                at.append((k, state))
+        rows = np.full((len(picks), max(map(len, picks.values()), default=1)), -1)
+        for row, pick in zip(rows, picks.values(), strict=True):
+            row[: len(pick)] = pick
+        node = dict(zip(picks, (x.hex() for x in climb_all(leaf, rows)), strict=True))
+        return pd.DataFrame([(k, j, node[state]) for k, state in at], columns=["behind", "run", "node"])
 
     return run
 

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from oracle import SF
+from quillstone.functions import canonical
 from quillstone.functions.canonical import merkle_root
 from quillstone.operators import listing, views
 from quillstone.plans import catalogue
@@ -38,6 +40,27 @@ def test_verification_takes_the_whole_active_pool(spark):
     assert k > 3 and got["root"] == catalogue.canonical.merkle_root(cids[: len(cids) - k]) and got["behind"] == k
 
 
+def test_trees_over_much_the_same_leaves_share_their_nodes(monkeypatch):
+    rng = random.Random(8)
+    leaves = [bytes(rng.randrange(256) for _ in range(32)) for _ in range(300)]
+    rows = [sorted(rng.sample(range(300), n)) for n in (1, 2, 3, 128, 255, 300)] + [list(range(k, k + 256)) for k in range(40)]
+    picks = np.full((len(rows), 300), -1)
+    for row, places in zip(picks, rows, strict=True):
+        row[: len(places)] = places
+    hashed = []
+    plain = canonical.blake3
+    want = [canonical.climb([leaves[i] for i in places]) for places in rows]
+    monkeypatch.setattr(canonical, "blake3", lambda messages: hashed.extend(messages) or plain(messages))
+    assert canonical.climb_all(leaves, picks) == want
+    assert len(hashed) == len(set(hashed)) < sum(map(len, rows)) / 2
+
+
+def test_growing_steps_cover_all_numbers_once():
+    for most in (0, 1, 7, 8, 9, 64, 500):
+        assert [k for a, b in listing.steps(most) for k in range(a, b + 1)] == list(range(most + 1))
+    assert listing.steps(500) == [(0, 0), (1, 8), (9, 64), (65, 500)]
+
+
 def test_verification_equals_the_plain_walk_back(spark, monkeypatch):
     monkeypatch.setattr(listing, "RUN", 16)
     rng = random.Random(4)
@@ -53,12 +76,14 @@ def test_verification_equals_the_plain_walk_back(spark, monkeypatch):
 def test_recall_asks_for_every_good_label(spark):
     a = Adapted(spark, SF)
     good = {r["doc_id"] for r in a.table("labels").where("quality = 1").collect()}
-    asked = [(r["branch"], r["text"][:40].lower()) for r in a.raw.collect() if r["doc_id"] in good]
+    texts = [(r["branch"], r["text"].lower().split("\n")) for r in a.raw.collect() if r["doc_id"] in good]
+    asked = [(b, line) for b, lines in texts for line in lines if line.strip(" ")]
     got = {r["budget"]: r for r in catalogue.QUERIES["q_eval_recall"](spark, SF).collect()}
     assert len(asked) > 20
     for budget in (1000, 4000):
         packs = {r["for_branch"]: r for r in catalogue._packs(a, "markdown", budget=budget).collect()}
         seen = [(b, e) for b, e in asked if b in packs]
         hits = sum(e in packs[b]["markdown"].lower() for b, e in seen)
-        tokens = sum(packs[b]["tokens"] for b, _ in seen) // len(seen)
+        of_texts = [packs[b]["tokens"] for b, _ in texts if b in packs]
+        tokens = sum(of_texts) // len(of_texts)
         assert (got[budget]["hits"], got[budget]["total"], got[budget]["mean_tokens"]) == (hits, len(seen), tokens) and hits
