@@ -43,7 +43,7 @@ WITH RECURSIVE claims_raw AS (
 statuses AS (
   SELECT 'S' || lpad(CAST(event_id AS VARCHAR), 25, '0') AS id,
          lpad(CAST(event_id % n_docs AS VARCHAR), 26, '0') AS claim,
-         CASE event_type WHEN 'error' THEN 'archived' WHEN 'purchase' THEN 'rejected' WHEN 'signup' THEN 'superseded' ELSE 'active' END AS to_status,
+         CASE WHEN (event_id % n_docs) % 100 = 0 THEN 'proposed' WHEN event_type = 'error' THEN 'archived' WHEN event_type = 'purchase' THEN 'rejected' WHEN event_type = 'signup' THEN 'superseded' ELSE 'active' END AS to_status,
          event_type AS reason, 'm' || CAST(user_id % 5 AS VARCHAR) AS src, ts AS t_tx
   FROM events, n WHERE event_id % 7 = 0
 ), counters AS (
@@ -113,7 +113,9 @@ class Adapted:
 
     @cached_property
     def statuses(self) -> DataFrame:
-        to = F.when(F.col("event_type") == "error", "archived").when(F.col("event_type") == "purchase", "rejected").when(F.col("event_type") == "signup", "superseded").otherwise("active")
+        # every second proposal stays one
+        stays = (F.col("event_id") % F.col("n_docs")) % 100 == 0
+        to = F.when(stays, "proposed").when(F.col("event_type") == "error", "archived").when(F.col("event_type") == "purchase", "rejected").when(F.col("event_type") == "signup", "superseded").otherwise("active")
         return self._targets.where(F.col("event_id") % 7 == 0).select(F.concat(F.lit("S"), F.lpad(F.col("event_id").cast("string"), 25, "0")).alias("id"), "claim", to.alias("to"), F.col("event_type").alias("reason"), F.col("machine").alias("src"), F.col("ts").alias("t_tx"))
 
     @cached_property
