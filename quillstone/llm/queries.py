@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, exact, langid, licences, near, packing, repair, resampling, substring, templates, toxicity
-from .runtime import BROADCAST_ROWS, materialize, table
+from .runtime import materialize, sized_join, table
 
 
 def tokenizer_path() -> str:
@@ -19,9 +19,8 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: all documents labelled good. k: the share of the labels that is good, of all documents."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     good = materialize(labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct())
-    blocks = max(1, -(-good.count() // BROADCAST_ROWS))  # ids are broadcast, so no texts are shuffled
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
-    target = [docs.select("doc_id", "text").join(F.broadcast(good.where(block == k)), "doc_id", "left_semi") for k in range(blocks)]
+    # one scan however many labels there are: few ids are broadcast, more meet the texts in a shuffle
+    target = sized_join(docs.select("doc_id", "text"), good, ["doc_id"], "left_semi", good.count())
     share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     k = round((0.0 if share is None else share) * docs.count())
     return resampling.resample(docs, target, k)
