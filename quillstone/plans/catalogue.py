@@ -468,11 +468,7 @@ def q_eval_recall(a: Adapted) -> DataFrame:
     """Every line of every text that is labelled good is asked for."""
     good = a.table("labels").where("quality = 1").select("doc_id").distinct()
     wanted = a.raw.select("doc_id", "branch", F.expr("filter(split(text, '\\n'), x -> trim(x) <> '')").alias("expect")).join(good, "doc_id").select("branch", "expect")
-    claims, sources = canonical.with_address(a.claims), BRANCHES.pool_table(a.spark)  # one plan, so its shuffles are reused
-    out = None
-    for budget in (1000, 4000):
-        packed = packer.packs(claims, sources, "markdown", budget=budget).withColumn("budget", F.lit(budget))
-        out = packed if out is None else out.unionByName(packed)
+    out = packer.packs_of_budgets(canonical.with_address(a.claims), BRANCHES.pool_table(a.spark), "markdown", [1000, 4000])
     return packer.score_eval(out, wanted)
 
 
