@@ -5,10 +5,13 @@ import os
 
 import pytest
 
-from oracle import table
+from oracle import SF, TABLES, both, table
 from quillstone.engine import Engine
 from quillstone.operators import views
+from quillstone.plans import catalogue
+from quillstone.plans.adapter import Adapted
 from quillstone.sources import config, log
+from quillstone.streaming import demo
 from quillstone.streaming import kept as module
 from quillstone.streaming.kept import KeptView
 
@@ -123,3 +126,18 @@ def test_bad_lines_and_an_empty_log(spark, home, tmp_path):
     whole = log.read(spark, home)
     assert rows(kept.records().warnings) == rows(whole.warnings) and len(rows(whole.warnings)[1]) == 3
     assert kept.claims().count() == 0 and rows(views.status_history(kept.records().statuses), "id", "claim", "to") == rows(whole.statuses, "id", "claim", "to")
+
+
+def test_a_status_of_a_document_leaves_the_claim_of_the_same_number(spark, tmp_path):
+    """Both tables begin at 0: an archived first turn isn't the claim that has its number."""
+    sf = tmp_path / "sf"
+    sf.mkdir()
+    for name in TABLES:
+        if name != "conversations":
+            os.symlink(f"{SF}/{name}.parquet", sf / f"{name}.parquet")
+    turns = [(0, k, "system" if k % 2 else "user", f"Turn {k}") for k in range(60)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(sf / "conversations.parquet"))
+    view = demo.keep_twice(Adapted(spark, str(sf)), f"file://{tmp_path}/home")
+    mine, theirs = both(spark, lambda *_: view.claims().select("id", "kind", "branch", "base_status", "status", "helpful", "harmful"), catalogue.SQL["q_kept_view"], str(sf))
+    assert mine == theirs and len(mine[1]) == 200
+    assert [r["body"] for r in view.docs().collect()] == ["Turn 58"]
