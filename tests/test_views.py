@@ -157,3 +157,26 @@ def test_equal_texts_make_a_row_each(spark):
     rows = [claim(f"{i:05d}", "the very same words again") for i in range(3000)]
     assert listing.similar_pairs(spark.createDataFrame(rows, CLAIMS), 0.8).count() == 2999
     assert listing.similar_pairs(spark.createDataFrame(rows[:0], CLAIMS), 0.8).count() == 0
+
+
+def test_different_texts_of_the_same_words_are_pairs(spark):
+    """No link between different texts is lost: only copies are told by their class."""
+    texts = ["alpha beta gamma delta omega", "Omega delta gamma beta alpha!", "alpha beta gamma delta omega", "alpha, beta gamma; delta omega", "alpha beta gamma delta omega sigma", "the and", "sigma beta gamma delta omega alpha"]
+    claims = spark.createDataFrame([claim(f"{i:02d}", t) for i, t in enumerate(texts)], CLAIMS)
+    found = sorted((r["a"], r["b"], round(r["similarity"], 6)) for r in listing.similar_pairs(claims, 0.8, by_text=True).collect())
+    of = [0, 1, 0, 3, 4, None, 6]
+    want = [(f"{a:02d}", f"{b:02d}", 1.0 if (a < 4) == (b < 4) else round(5 / 6, 6)) for a in (0, 1, 3, 4, 6) for b in (0, 1, 3, 4, 6) if a < b]
+    assert found == sorted(want + [(f"{n:02d}", f"{i:02d}", 1.0) for i, n in enumerate(of) if n is not None and n != i])
+
+
+def test_candidates_of_shared_rare_words_lose_no_pair(spark):
+    """Rarest words lead whatever slots they share, and candidates that cannot be alike are not compared."""
+    rows = [claim(f"{i:04d}", " ".join(f"common{k}" for k in range(20)) + "".join(f" rare{i // 2}x{k}" for k in range(20 if i % 4 < 2 else 2))) for i in range(400)]
+    claims = spark.createDataFrame(rows, CLAIMS)
+    _, pairs = listing.similar_sets(claims, 0.8)
+    sets = {f"{i:04d}": frozenset(r[4].split()) for i, r in enumerate(rows)}
+    node = {}
+    for i, w in sets.items():
+        node.setdefault(w, i)
+    want = {(a, b) for w, a in node.items() for x, b in node.items() if a < b and len(w & x) / len(w | x) >= 0.8}
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and len(want) > 100
