@@ -107,6 +107,38 @@ def test_a_search_reads_ranges_only(spark, tmp_path):
     assert index.bm25(stored, [], stemmed=False).count() == 0 == index.bm25(stored, ["x"], stemmed=False).count()
 
 
+def test_an_index_reads_its_rows_for_ranges_and_lists_only(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    claims = spark.read.parquet(f"{SF}/documents.parquet")
+    table = index.token_table(search_index.claims(claims, defaults("search_index")), stemmed=False)
+    stored = index.write_index(table.mapInArrow(counted, table.schema), str(tmp_path))
+    assert read.value <= 2 * claims.count()
+    assert stored.lists.count() < stored.size == stored.postings.count()  # lists are shuffled, not postings
+    assert rows(stored.statistics) == rows(table.where("length > 0").agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average")))
+
+
+def test_lists_are_cut_between_rows(spark, tmp_path, monkeypatch):
+    """Whatever a task makes lists of at once, a row longer than that included."""
+    import pyarrow as pa
+
+    a, b = ["x"] * 5 + ["y"], ["y"]
+    none: list[str] = []
+    batch = pa.RecordBatch.from_pylist([{"id": i, "text": t, "why": None, "entities": none, "refs": none, "length": len(t)} for i, t in (("1", b), ("2", a), ("3", none), ("4", b))], pa.schema({"id": pa.string(), **{f: pa.list_(pa.string()) for f in index.FIELDS}, "length": pa.int64()}))
+    want = {("x", "2", 5, 6), ("y", "1", 1, 1), ("y", "2", 1, 6), ("y", "4", 1, 1)}
+    for together, parts in ((1, 3), (2, 3), (100, 1)):
+        monkeypatch.setattr(index, "TOGETHER", together)
+        made = [r for x in index._lists([batch.slice(0, 2), batch.slice(2)] if together < 100 else [batch]) for r in x.to_pylist()]
+        counts = [r for r in made if r["token"] is None]
+        assert (sum(r["n"] for r in counts), sum(r["total"] for r in counts)) == (3, 8) and len(counts) == parts
+        assert {(r["token"], p["id"], p["tf"], p["length"]) for r in made if r["token"] for p in r["list"]} == want
+
+
 def test_an_empty_table_has_an_index(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "none"))
     done = search_index.run(spark, str(tmp_path / "none"), str(tmp_path / "index"), defaults("search_index"))
