@@ -1,3 +1,5 @@
+import tracemalloc
+
 import hypothesis.strategies as st
 import pytest
 from hypothesis import given, settings
@@ -44,6 +46,33 @@ def test_blake3_lengths():
     assert blake3([data[:n] for n in (0, 1, 1024, 1025, 5000)]) == [blake3([data[:n]])[0] for n in (0, 1, 1024, 1025, 5000)]
 
 
+def test_addresses_are_made_of_few_bytes_at_once(monkeypatch):
+    """Whatever a batch holds, so a task's memory doesn't grow with its text."""
+    lines = [bytes([i % 251]) * n for i, n in enumerate([0, 1, 5000, 70_000, 1023, 3, 9000, 0])]
+    want, sizes = c.address(lines), []
+    hashed = c.blake3
+    monkeypatch.setattr(c, "blake3", lambda data: sizes.append(sum(map(len, data))) or hashed(data))
+    for together in (1, 4000, 1 << 20):
+        sizes.clear()
+        monkeypatch.setattr(c, "TOGETHER", together)
+        assert list(c.addresses(iter(lines))) == want
+        assert max(sizes) <= together + 70_000
+    assert list(c.addresses([])) == []
+    monkeypatch.undo()
+    tracemalloc.start()
+    assert len(list(c.addresses(bytes([k % 251]) * 50_000 for k in range(1000)))) == 1000  # 50 MB in all
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+
+
+def test_addresses_of_columns(spark):
+    rows = [(i, ("fact", None)[i % 7 == 6], (f"text {i} \r\n", None, "é" * i)[i % 3], (None, "", "why")[i % 3], (None, [], ["b", "a", ""])[i % 3], (["T", "s"], None)[i % 2]) for i in range(700)]
+    df = spark.createDataFrame(rows, "i int, kind string, text string, why string, refs array<string>, entities array<string>").coalesce(1)
+    got = {r["i"]: (r["cid"], r["d"]) for r in c.with_address(df).withColumn("d", c.document_addresses("text")).select("i", "cid", "d").collect()}
+    assert got == {i: (c.claim_address(k, t or "", w, r or (), e or ()), c.document_address(t or "")) for i, k, t, w, r, e in rows}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab \t\n\r  　é"), max_size=30))
 def test_normalisation_is_idempotent(text):
