@@ -1,9 +1,12 @@
 """Packs whose texts join after the choice are those of all claims gathered in one place."""
 
+import pandas as pd
 import pytest
 
+from quillstone.functions.canonical import with_address
 from quillstone.functions.render import Meta
 from quillstone.model import Weights, projection
+from quillstone.operators import packer
 from quillstone.operators.branches import Branches
 from quillstone.operators.packer import SLIM, choices, choose, compile_pack, in_rounds, packs, slim_rows
 from quillstone.operators.weights import weighted
@@ -78,3 +81,33 @@ def test_equal_claims_are_chosen_by_id_over_many_rounds(spark):
     got = sorted((r["place"], r["id"]) for r in in_rounds(slim, "markdown", 700, Weights(), 2).collect())
     assert [i for _, i in got] == [f"{k:03d}" for k in range(len(got))] and len(got) > 5
     assert in_rounds(slim.limit(0), "markdown", 700, Weights(), 2).count() == 0
+
+
+def test_only_chosen_texts_are_hashed(spark, claims):
+    """The join that keeps what was chosen is below the hashing in the plan, and packs are those of addressed claims."""
+    sources = BRANCHES.pool_table(spark)
+    for budgets in ([700], [400, 900]):
+        of = lambda c, **more: packer.packs_of_budgets(c, sources, "agents-md", budgets, **more) if len(budgets) > 1 else packs(c, sources, "agents-md", budgets[0], **more)  # noqa: B023, E731
+        made = of(claims, addressed=False)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert -1 < plan.index("ArrowEvalPython") < plan.index("LeftSemi")
+        assert sorted(map(tuple, made.collect())) == sorted(map(tuple, of(with_address(claims)).collect()))
+
+
+def test_a_scan_makes_objects_of_few_rows_at_once(monkeypatch):
+    """Whatever the size of a batch; words of a candidate are let go of once it is reckoned."""
+    rows = pd.DataFrame([{"for_branch": "p/" + "ab"[k // 300], "id": f"{k:03d}", "able": k % 9 > 0, "weight": 0.1 + (k * 7 % 50) / 50, "relevance": 1.0, "pinned": False, "cost": 10 + k % 7, "why_cost": 0, "tags": [f"t{k % 5}"], "words": [k, k % 3, k % 11]} for k in range(600)])
+    of = lambda k: {**rows.iloc[k].to_dict(), "place": 0}
+    going = {"p/a": packer.Standing(1.0, [of(1), of(2)], 500), "p/b": packer.Standing(1.0, [of(301)], 500)}
+    rated, held = packer._rated, []
+    monkeypatch.setattr(packer, "_rated", lambda part, *more: held.append(len(part)) or rated(part, *more))
+    forget, words = packer.Choice.forget, []
+    monkeypatch.setattr(packer.Choice, "forget", lambda self, i: forget(self, i) or words.append(len(self._words)))
+    found = []
+    for objects in (13, 1000):
+        monkeypatch.setattr(packer, "OBJECTS", objects)
+        held.clear()
+        found.append(pd.concat(packer._scan(going, "none", Weights(), 40)([rows])).reset_index(drop=True))
+        assert max(held) <= min(objects, 300) and max(words) <= 2  # those of the picked
+    pd.testing.assert_frame_equal(found[0], found[1])
+    assert len(found[0]) == 80
