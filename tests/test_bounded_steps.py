@@ -4,6 +4,7 @@ import pytest
 
 from oracle import SF
 from quillstone.plans import catalogue
+from quillstone.plans.adapter import Adapted
 
 
 @pytest.mark.parametrize("name", ["q_search_stored"])
@@ -13,3 +14,11 @@ def test_a_stored_index_is_of_claims_without_statuses(spark, monkeypatch, name):
     monkeypatch.setattr(catalogue.index, "write_index", lambda table, folder: plans.append(table._jdf.queryExecution().optimizedPlan().toString()) or write(table, folder))
     assert catalogue.QUERIES[name](spark, SF).count() > 0
     assert len(plans) == 1 and "Join" not in plans[0]
+
+
+def test_recall_hashes_chosen_texts_only(spark, monkeypatch):
+    made, real = [], catalogue.packer.packs_of_budgets
+    monkeypatch.setattr(catalogue.packer, "packs_of_budgets", lambda *a, **more: made.append(real(*a, **more)) or made[-1])
+    catalogue.q_eval_recall(Adapted(spark, SF))
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("ArrowEvalPython") < plan.index("LeftSemi")
