@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -24,6 +25,9 @@ NAME = "quillstone_log"
 SLICE = 64 << 20
 #: Pieces of small files share a partition up to so many bytes.
 SHARED = 8 << 20
+#: Bytes of lines that a task hands on at once.
+TOGETHER = 4 << 20
+_LINES = pa.schema([(name, pa.string()) for name in ("value", "shard_machine", "shard_month")])
 #: Shards, and the files of bulk writes.
 PATTERNS = ("log/*/*.jsonl", "bulk/machine=*/month=*/part-*")
 #: What the error says if a file has lost lines that were read: what was made of them must be made again, with a new checkpoint.
@@ -101,8 +105,10 @@ class LogReader(DataSourceStreamReader):
                 begin = cut
         return out
 
-    def read(self, partition: Slice) -> Iterator[tuple]:
+    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+        """The lines of a partition, about TOGETHER bytes at a time."""
         for path, machine, month, at, end in partition.pieces:
+            texts, size = [], 0
             with open(path, "rb") as f:
                 f.seek(at)
                 while at < end:
@@ -110,7 +116,11 @@ class LogReader(DataSourceStreamReader):
                     at += len(line)
                     text = line.decode("utf-8", "replace").strip()
                     if text:
-                        yield (text, machine, month)
+                        texts.append(text)
+                        size += len(line)
+                    if texts and (size >= TOGETHER or at >= end):
+                        yield pa.RecordBatch.from_pydict({"value": texts, "shard_machine": [machine] * len(texts), "shard_month": [month] * len(texts)}, _LINES)
+                        texts, size = [], 0
 
 
 class LogSource(DataSource):
