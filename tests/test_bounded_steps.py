@@ -9,7 +9,7 @@ from quillstone.plans.adapter import Adapted
 from quillstone.streaming import source
 
 
-@pytest.mark.parametrize("name", ["q_search_stored"])
+@pytest.mark.parametrize("name", ["q_search_stored", "q_search_stored_hybrid"])
 def test_a_stored_index_is_of_claims_without_statuses(spark, monkeypatch, name):
     """Its texts aren't shuffled to join statuses and counts, which it doesn't hold."""
     plans, write = [], catalogue.index.write_index
