@@ -1,7 +1,7 @@
 """Search index: the inverted index of a table of texts, written so that a search reads only the ranges of its words.
 
-Every text is read whole and cut into words; the postings go to folders by first letter, in ranges of word and id, with one row of
-statistics beside them. ``quillstone.operators.index`` searches the result (``StoredIndex``). A run replaces what an
+Every text is read whole and cut into words; lists of postings go to folders by first letter, in ranges of word and id, with one row
+of statistics beside them. ``quillstone.operators.index`` searches the result (``StoredIndex``). A run replaces what an
 earlier run has written, so a run that failed is simply run again.
 
     python -m jobs.search_index --documents DIR --target DIR [--config FILE]
