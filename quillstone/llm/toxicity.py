@@ -32,6 +32,8 @@ DAMP = 0.05
 RIDGE_LINEAR, RIDGE_FACTORS = 0.07, 0.27
 #: Parameters nearer to 0 than this are 0 in the fitted machine.
 LEAST = 1e-3
+#: Terms whose parameters are gathered at once, and rows of parameters that are made or shrunk at once.
+TOGETHER = 1 << 16
 
 
 def passages(values: list[str], active: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,9 +87,18 @@ def sums(rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def margins(params: np.ndarray, at: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(w.x + (|Vx|^2 - sum of |v_i|^2 x_i) / 2, Vx) of each passage; ``params`` are rows (w, v) that ``at`` points to."""
-    total = sums(params[at], begin)
-    squares = sums((params[:, 1:] ** 2).sum(axis=1)[at], begin)
+    """(w.x + (|Vx|^2 - sum of |v_i|^2 x_i) / 2, Vx) of each passage; ``params`` are rows (w, v) that ``at`` points to.
+
+    Parameters are gathered for as many passages at once as have TOGETHER terms, or for one.
+    """
+    total, squares = np.empty((len(begin) - 1, params.shape[1]), params.dtype), np.empty(len(begin) - 1, params.dtype)
+    square = (params[:, 1:] ** 2).sum(axis=1)
+    low = 0
+    while low < len(total):
+        high = max(low + 1, int(np.searchsorted(begin, begin[low] + TOGETHER, "right")) - 1)
+        some, edges = at[begin[low] : begin[high]], begin[low : high + 1] - begin[low]
+        total[low:high], squares[low:high] = sums(params[some], edges), sums(square[some], edges)
+        low = high
     vx = total[:, 1:]
     return total[:, 0].astype(float) + 0.5 * ((vx**2).sum(axis=1) - squares), vx
 
@@ -153,19 +164,22 @@ def fit(x_rows: list[np.ndarray], y: np.ndarray, terms: int, factors: int = 8, e
     ``x_rows`` has the places of each passage's terms and ``first`` the first passage of each text (None: each
     passage is a text). The ridge holds factors down more than linear weights, and shrinks every parameter in
     every step, though a term is only touched, and its shrinking made up for, when a passage has it. Few rows
-    are gone over until there were ``steps`` steps.
+    are gone over until there were ``steps`` steps. ``x_rows`` is emptied as soon as its batches are made, which take half as much.
     """
     rng = np.random.default_rng(seed)
     first = np.arange(len(x_rows)) if first is None else first
     n = len(first)
     share = min(max(y.mean() if n else 0.5, 1e-3), 1 - 1e-3)
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
-    params = np.concatenate([np.zeros((terms, 1)), rng.normal(0, 0.02, (terms, factors))], axis=1).astype(np.float32)
-    energy, seen = np.zeros_like(params), np.zeros(terms)
+    params = np.zeros((terms, 1 + factors), np.float32)
+    for low in range(0, terms, TOGETHER):
+        params[low : low + TOGETHER, 1:] = rng.normal(0, 0.02, (min(TOGETHER, terms - low), factors))
     noise = np.sqrt(np.mean([len(x) for x in x_rows]) / n) if n else 0.0
     rates = np.r_[rate, np.full(factors, 2.5 * rate)].astype(np.float32)
     pull = rates * np.r_[RIDGE_LINEAR, np.full(factors, RIDGE_FACTORS)].astype(np.float32) * np.float32(noise)
     parts = list(_batches(x_rows, first, rng.permutation(n), batch))
+    x_rows.clear()
+    energy, seen = np.zeros_like(params), np.zeros(terms)
     epochs = max(epochs, -(-steps // max(1, len(parts))))
     bias = bias_energy = clock = 0.0
     for epoch in range(epochs if terms else 0):
@@ -188,8 +202,10 @@ def fit(x_rows: list[np.ndarray], y: np.ndarray, terms: int, factors: int = 8, e
             params[cols[hit]] = own[hit] - np.float32(now) * rates * grad / (DAMP + np.sqrt(total))
             bias_energy += slope.sum() ** 2
             bias -= now * 0.2 * slope.sum() / (DAMP + np.sqrt(bias_energy))
-    params *= np.exp(-(clock - seen)[:, None] * pull / (DAMP + np.sqrt(energy)))
-    return float(bias), params[:, 0].astype(float), params[:, 1:].astype(float)
+    for low in range(0, terms, TOGETHER):
+        some = slice(low, low + TOGETHER)
+        params[some] *= np.exp(-(clock - seen[some])[:, None] * pull / (DAMP + np.sqrt(energy[some])))
+    return float(bias), params[:, 0], params[:, 1:]
 
 
 #: Rows that the scale and bias of the fit count for in calibration.
@@ -222,8 +238,8 @@ def calibrate(margin: np.ndarray, y: np.ndarray, bias: float) -> tuple[float, fl
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: int = 12_000, fit_terms: int = 50_000_000, calibration: float = 0.15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Fit on at most ``fit_rows`` labelled rows that aren't ``held_out``, the first by a hash of their id.
 
-    All terms of those rows take part, up to ``fit_terms`` in all (4 bytes each on the driver): in the order of that hash, an id
-    whose rows would go beyond it is left out. The share ``calibration`` of them, the last by that hash, only sets scale and
+    All terms of those rows take part, up to ``fit_terms`` in all (on the driver 4 bytes each as they come, and 2 in a batch, or 4
+    if it has many terms): in the order of that hash, an id whose rows would go beyond it is left out. The share ``calibration`` of them, the last by that hash, only sets scale and
     bias. Null labels and ids are left out, an id with several labels counts as the largest, and every
     row that repeats an id counts; null and empty texts are texts without a term. Without labelled rows (an empty table
     on either side) the machine gives 0.5 for every text. Other columns are not read.
@@ -245,35 +261,40 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: int =
 
     sample = materialize(map_batches(rows, terms_of, "place long, y int, sizes binary, terms binary"))
     used, fitting = 0, []
-    sizes_of = sample.groupBy("place").agg(F.sum(F.octet_length("terms")).alias("bytes")).collect()  # a row an id, fit_rows at most
-    for place, n in sorted((r["place"], r["bytes"] // 4) for r in sizes_of):
-        if used + n <= fit_terms:
-            used += n
-            fitting.append((place,))
-    if len(fitting) < len(sizes_of):
-        sample = sample.join(F.broadcast(sample.sparkSession.createDataFrame(fitting, "place long")), "place", "left_semi")
-    data = sorted((r["place"], r["terms"], r["sizes"], r["y"]) for r in sample.toLocalIterator())
-    if not data:
+    # a row an id, fit_rows at most
+    sizes_of = sample.groupBy("place").agg(F.sum(F.octet_length("terms")).alias("bytes"), F.sum(F.octet_length("sizes")).alias("of_sizes"), F.count("*").alias("rows")).collect()
+    for r in sorted(sizes_of):
+        if used + r["bytes"] // 4 <= fit_terms:
+            used += r["bytes"] // 4
+            fitting.append(r)
+    if not fitting:
         return Machine(np.zeros(1 << BITS, np.int32), np.zeros((0, 9)), 1.0, 0.0)
-    present = np.zeros(1 << BITS, bool)
-    for _, blob, _, _ in data:
-        present[np.frombuffer(blob, "<i4")] = True
+    if len(fitting) < len(sizes_of):
+        sample = sample.join(F.broadcast(sample.sparkSession.createDataFrame([(r["place"],) for r in fitting], "place long")), "place", "left_semi")
+    # rows come in the order of the fit, each to its place in arrays of their final size, so their terms are held once
+    flat, sizes = np.empty(used, np.int32), np.empty(sum(r["of_sizes"] for r in fitting) // 4, np.int32)
+    n = sum(r["rows"] for r in fitting)
+    first, y, present = np.empty(n, np.int64), np.empty(n), np.zeros(1 << BITS, bool)
+    at = passage = 0
+    for k, r in enumerate(sample.orderBy("place", "terms", "sizes", "y").toLocalIterator()):
+        term, size = np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["sizes"], "<i4")
+        first[k], y[k], present[term] = passage, r["y"] > 0, True
+        flat[at : at + len(term)], sizes[passage : passage + len(size)] = term, size
+        at, passage = at + len(term), passage + len(size)
     slots = np.cumsum(present, dtype=np.int32) * present
-    x_rows, first, y = [], [], np.array([float(r[3] > 0) for r in data])
-    for k in range(len(data)):
-        _, blob, sizes, _ = data[k]
-        first.append(len(x_rows))
-        x_rows += np.split(slots[np.frombuffer(blob, "<i4")] - 1, np.cumsum(np.frombuffer(sizes, "<i4"))[:-1])
-        data[k] = None  # the copy stays
-    first = np.array(first)
-    cut = len(first) - int(calibration * len(first))
-    end = first[cut] if cut < len(first) else len(x_rows)
-    bias, w, v = fit(x_rows[:end], y[:cut], int(present.sum()), first=first[:cut])
-    params = np.concatenate([w[:, None], v], axis=1).astype(np.float32)
+    for low in range(0, used, TOGETHER):
+        flat[low : low + TOGETHER] = slots[flat[low : low + TOGETHER]] - 1
+    cut = n - int(calibration * n)
+    end = first[cut] if cut < n else len(sizes)
+    edges = np.cumsum(sizes[:end], dtype=np.int64)
+    x_rows, rest = np.split(flat[: edges[-1]], edges[:-1]), flat[edges[-1] :].copy()
+    del flat  # fit empties x_rows, and nothing holds the whole then
+    bias, w, v = fit(x_rows, y[:cut], int(present.sum()), first=first[:cut])
+    release_memory()
+    params = np.concatenate([w[:, None], v], axis=1, dtype=np.float32)
     params[np.abs(params) < LEAST] = 0
-    if cut < len(first):
-        rest = x_rows[end:]
-        margin, _ = margins(params, np.concatenate(rest), np.cumsum([0, *map(len, rest)]))
+    if cut < n:
+        margin, _ = margins(params, rest, np.cumsum(np.r_[0, sizes[end:]]))
         scale, bias = calibrate(np.maximum.reduceat(margin, first[cut:] - end), y[cut:], bias)
     else:
         scale = 1.0
@@ -281,7 +302,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: int =
     kept = np.zeros(1 << BITS, np.int32)
     kept[np.flatnonzero(present)[says]] = np.arange(1, len(says) + 1)
     machine = Machine(kept, params[says], scale, bias)
-    data = x_rows = rest = None
+    w = v = params = rest = None
     release_memory()  # the driver lives on, and the sample was most of what it held
     return machine
 

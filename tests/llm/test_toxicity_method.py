@@ -1,6 +1,9 @@
 """The factorization machine against plain formulas, and on toxicity that only a pair of words has."""
 
+import gc
 import random
+import tracemalloc
+import weakref
 
 import numpy as np
 
@@ -124,3 +127,53 @@ def test_terms_of_the_fit_are_bounded(spark):
     texts = ["bad thing", "good thing", "long"]
     assert len(whole.params) > 0 and np.array_equal(bounded.score(texts), without.score(texts))
     assert np.array_equal(toxicity.train(table, labels, nobody, fit_terms=0).score(texts), [0.5] * 3)
+
+
+def test_margins_gather_few_parameters_at_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    params = rng.normal(0, 0.1, (500, 9)).astype(np.float32)
+    begin = np.cumsum(np.r_[0, rng.integers(0, 500, 4000)])
+    at = rng.integers(0, 500, begin[-1])
+    tracemalloc.start()
+    try:
+        got = toxicity.margins(params, at, begin)
+        assert tracemalloc.get_traced_memory()[1] < at.nbytes  # the parameters of all are 36 bytes a term
+    finally:
+        tracemalloc.stop()
+    for together in (1, 700, 1 << 30):
+        monkeypatch.setattr(toxicity, "TOGETHER", together)
+        assert all(np.array_equal(a, b) for a, b in zip(toxicity.margins(params, at, begin), got, strict=True))
+    assert [len(x) for x in toxicity.margins(params, at[:0], np.zeros(1, int))] == [0, 0]
+
+
+def test_a_fit_is_the_same_in_pieces_and_empties_its_rows(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows_ = [np.sort(rng.choice(900, 20, replace=False)) for _ in range(120)]
+    y = (rng.random(120) < 0.5).astype(float)
+    results = []
+    for together in (1 << 16, 7):
+        monkeypatch.setattr(toxicity, "TOGETHER", together)
+        given = list(rows_)
+        results.append(toxicity.fit(given, y, 900, steps=20))
+        assert given == []
+    assert all(np.array_equal(a, b) for a, b in zip(*results, strict=True))
+
+
+def test_training_holds_its_terms_once_until_the_batches_are_made(spark, monkeypatch):
+    """The rows handed to the fit are all there is of its terms: nothing keeps them when the fit lets go. Repeated ids count each."""
+    rng = random.Random(8)
+    docs = [(i, words(rng, 30 + i)) for i in range(80)] + [(7, "another text"), (7, "another text"), (9, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    held, real = [], toxicity.fit
+
+    def fit(x_rows, y, terms, first):
+        held.append([len(y), weakref.ref(x_rows[0] if x_rows[0].base is None else x_rows[0].base)])
+        real(list(x_rows), y, terms, first=first, steps=1)
+        x_rows.clear()
+        gc.collect()
+        held[-1].append(held[-1][1]())
+        return 0.0, np.zeros(terms), np.zeros((terms, 8))
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, F.lit(False))
+    assert held[0][0] == 83 - int(0.15 * 83) and held[0][2] is None
