@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.blake3 import blake3
 from ..functions.canonical import ADDRESS_PREFIX, RUN, climb, climb_all, merkle_root, placed_leaves
-from ..functions.text import label_of, project, short_tag, words_of
+from ..functions.text import label_of, project, short_tag
+from .similar import similar_sets
 
 
 def ideas(summary: DataFrame, docs: DataFrame, defined: DataFrame) -> DataFrame:
@@ -59,81 +60,6 @@ def map_text(shown: DataFrame, links: DataFrame) -> DataFrame:
     return per.unionByName(across.groupBy("branch").agg(F.array_join(F.sort_array(F.collect_list("t")), "\n").alias("text")))
 
 
-#: Slots of the counts that order words from the rarest to the commonest, whatever the number of words.
-SLOTS = 1 << 20
-
-
-def word_slots(hashes: DataFrame) -> np.ndarray:
-    """How often the words (arrays of hashes, column ``h``) of a slot occur, as 255 steps of a logarithm at most; 0 is once at most."""
-
-    def packed(batches):
-        for b in batches:
-            yield pd.DataFrame({"p": [(b["slot"].to_numpy() << 8 | b["n"].to_numpy()).astype("<i4").tobytes()]})
-
-    counts = hashes.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
-    steps = counts.select("slot", F.least(F.ceil(8 * F.log2("n")), F.lit(255)).cast("int").alias("n"))
-    out = np.zeros(SLOTS, np.uint8)
-    for r in steps.mapInPandas(packed, "p binary").collect():  # 4 bytes a slot
-        p = np.frombuffer(r["p"], "<i4")
-        out[p >> 8] = p & 255
-    return out
-
-
-def similar_sets(claims: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Claims by distinct word set, (id, copy, node), and the pairs (a, b, similarity) of nodes at least ``threshold`` alike; exact.
-
-    A node is the smallest id of the claims whose words are the same, so however many they are they make a row each, and a is
-    before b. ``copy`` is the same for equal texts and reasons. Claims without words are in no node; an empty table has none.
-    A prefix-filter join: with the words of each node in one order, a pair that alike shares one of the first
-    n - ceil(t n) + 1, so only those are join keys, and so many of them that with the words behind they can be enough. Any order
-    will do, and the rarest first makes the fewest candidates: it is by the counts of a fixed number of slots, then by hash. Of
-    whole word sets only those that are compared in the end are shuffled, once, as one string each.
-    """
-    spark = claims.sparkSession
-    copy = F.concat_ws("", *[F.coalesce(F.md5(c), F.lit("-")) for c in ("text", "why")])
-    words = F.array_join(F.sort_array(words_of(F.concat_ws(" ", "text", "why"))), " ")
-    # read four times, words are found once; by id, so that the joins of the end don't shuffle it again
-    own = claims.select("id", F.unhex(F.md5(copy)).alias("copy"), words.alias("text")).where("text <> ''").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").persist()
-    own = own.withColumn("words", F.split("text", " "))
-    hashed = F.transform("words", lambda w: F.xxhash64(w))
-    slots = spark.sparkContext.broadcast(word_slots(own.select(hashed.alias("h"))))
-
-    @F.pandas_udf("array<struct<w: bigint, p: int>>")
-    def rarest(hashes: pd.Series, keep: pd.Series) -> pd.Series:
-        count, out = slots.value, []
-        for h, k in zip(hashes, keep, strict=True):
-            h = np.sort(np.asarray(h, np.int64))
-            n = count[h & (SLOTS - 1)]
-            first = np.argsort(n, kind="stable")[:k]
-            out.append([{"w": int(h[i]), "p": p} for p, i in enumerate(first) if n[i]])  # what occurs once is shared by none
-        return pd.Series(out)
-
-    size = F.size("words")
-    keep = size - F.ceil(threshold * size - 1e-9).cast("int") + 1
-    rows = own.select("id", F.unhex(F.md5("text")).alias("key"), "copy", size.alias("size"), rarest(hashed, keep).alias("first"))
-    rows = rows.withColumn("node", F.min("id").over(Window.partitionBy("key"))).drop("key").persist()  # read three times
-    ones = rows.where("id = node").select("node", "size", F.explode("first").alias("f"))
-    keyed = ones.select("node", "size", (F.col("size") - F.col("f.p")).alias("left"), F.col("f.w").alias("w"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = (F.col("a.node") < F.col("b.node")) & (F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size") - 1e-9)
-    # at any word that alike ones share, those before it in the one and behind it in the other are enough
-    share, more = threshold / (1 + threshold), 0.02
-    both = F.col("a.size") + F.col("b.size")
-    enough = share * both - 1e-6
-    around = F.least("a.left", "b.left") + F.least(F.col("a.size") - F.col("a.left"), F.col("b.size") - F.col("b.left"))
-    met = a.join(b, (F.col("a.w") == F.col("b.w")) & near & (around >= enough) & (F.least("a.left", "b.left") >= enough - more * both))
-    met = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.least("a.left", "b.left").alias("left"), both.alias("both"), F.greatest("a.size", "b.size").alias("most"))
-    # whose words that are looked at end first has all that it shares of them among the other's, and at most those behind them besides
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("left").alias("left"), F.max("both").alias("both"), F.max("most").alias("most"))
-    behind = F.greatest(F.ceil(threshold * F.col("most") - 1e-9), F.ceil((share - more) * F.col("both") + 1e-6)) - 1
-    pairs = pairs.where(F.least(F.col("left"), F.col("n") + behind) >= share * F.col("both") - 1e-6)
-    texts = own.select("id", "text")
-    full = pairs.select("a", "b", "both").join(texts.toDF("a", "wa"), "a").join(texts.toDF("b", "wb"), "b")
-    shared = F.size(F.array_intersect(F.split("wa", " "), F.split("wb", " ")))
-    alike = full.select("a", "b", (shared / (F.col("both") - shared)).alias("similarity"))
-    return rows.select("id", "copy", "node"), alike.where(F.col("similarity") >= threshold - 1e-12)
-
-
 def similar_pairs(claims: DataFrame, threshold: float = 0.5, by_text: bool = False) -> DataFrame:
     """(a, b, similarity): the pairs of nodes, and each other claim of a node with that (similarity 1).
 
@@ -145,9 +71,11 @@ def similar_pairs(claims: DataFrame, threshold: float = 0.5, by_text: bool = Fal
         classes = members.groupBy("node", "copy").agg(F.min("id").alias("first"))
         x, y = classes.select("node", F.col("first").alias("x")), classes.select("node", F.col("first").alias("y"))
         same = x.join(y, "node").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("similarity"))
-        across = pairs.join(x.withColumnRenamed("node", "a"), "a").join(y.withColumnRenamed("node", "b"), "b")
+        several = lambda texts, node: F.explode(F.coalesce(texts, F.array(node)))
+        across = pairs.withColumn("x", several("xs", "a")).withColumn("y", several("ys", "b"))
         pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity").unionByName(same)
         members = members.join(classes, ["node", "copy"]).select("id", F.col("first").alias("node"))
+    pairs = pairs.select("a", "b", "similarity")
     return pairs.unionByName(members.where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
@@ -161,7 +89,7 @@ def refine(claims: DataFrame, threshold: float = 0.5, most: int = 30) -> DataFra
     first = first.persist()  # read five times
     x, y = first.toDF("a", "node"), first.toDF("b", "node")
     same = x.join(y, "node").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
-    best = pairs.orderBy(F.desc("similarity"), "a", "b").limit(most).toDF("na", "nb", "similarity")
+    best = pairs.orderBy(F.desc("similarity"), "a", "b").limit(most).select(F.col("a").alias("na"), F.col("b").alias("nb"), "similarity")
     across = best.join(first.toDF("x", "na"), "na").join(first.toDF("y", "nb"), "nb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
     return same.unionByName(across).orderBy(F.desc("similarity"), "a", "b").limit(most)
 
